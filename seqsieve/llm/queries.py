@@ -1,9 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import mixing, url_filter
+from . import fingerprints, mixing, tiff, url_filter
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_tiff": tiff.op4_tiff,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 SQL = {"op9_url_filter": url_filter.SQL}
