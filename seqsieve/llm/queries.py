@@ -1,8 +1,9 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import fingerprints, mixing, tiff, url_filter
+from . import bpe, fingerprints, mixing, tiff, url_filter
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op4_tiff": tiff.op4_tiff,
     "op5_fingerprints": fingerprints.op5_fingerprints,
