@@ -1,12 +1,16 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, fingerprints, mixing, tiff, url_filter
+from . import bpe, fingerprints, langid, mixing, simhash, substrings, tiff, token_counts, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op4_tiff": tiff.op4_tiff,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_substrings": substrings.op6_substrings,
+    "op7_langid": langid.op7_langid,
+    "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
-SQL = {"op9_url_filter": url_filter.SQL}
+SQL = {"op9_url_filter": url_filter.SQL, "op10_token_counts": token_counts.SQL}
