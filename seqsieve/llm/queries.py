@@ -1,8 +1,9 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, fingerprints, langid, mixing, simhash, substrings, tiff, token_counts, url_filter
+from . import bpe, fingerprints, langid, mixing, ppm, simhash, substrings, tiff, token_counts, url_filter
 
 QUERIES = {
+    "op1_ppm": ppm.op1_ppm,
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op4_tiff": tiff.op4_tiff,
