@@ -118,14 +118,9 @@ def pivotal_copies(items: DataFrame, seed: int = 0, leaf: int = 48) -> DataFrame
     return done.select("group", F.col("item.id").alias("id"), (F.col("item.whole") + F.col("item.p").cast("long")).alias("copies"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0, salts: int = 16) -> DataFrame:
-    """A row for each row of docs: the key, size (words), source_size, target (of its source) and taken (words, repeats counted).
-
-    Sources in code point order, null last, weigh `weights`, repeating, and share all sizes; a target stops at `most` times
-    its source's size, the excess is reshared. Words taken of a source come within half a document of its target; a document is
-    taken at most `most` times. Equal rows (key, source, size) are rounded together. Empty and null texts have size 0 and
-    taken 0; other columns don't matter; an empty table gives none.
-    """
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0, salts: int = 16) -> DataFrame:
+    """Rows (key, source, size, n, source_size, target, copies): of each set of n equal rows (key, source and size in words) the
+    copies that the mix takes, in all at most `most` a row."""
     sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     rows = stored(sized.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "sizes")
     own = rows.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"))
@@ -138,14 +133,42 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = rows.withColumn("salt", F.pmod(F.xxhash64("key", "size"), F.lit(salts)).cast("int"))
     both = left.alias("l").join(salted.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.salt") == F.col("r.salt")))
-    both = both.select("key", "size", "n", "source_size", "target", "group", F.xxhash64("key", "size", "group").alias("id"))
+    both = both.select("key", F.col("l.source").alias("source"), "size", "n", "source_size", "target", "group", F.xxhash64("key", "size", "group").alias("id"))
     both = stored(both, "mixing")
     items = both.filter("size > 0").groupBy("group", "id").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.max(F.col("target") / F.col("source_size")).alias("copies"))
     made = pivotal_copies(items, seed)
-    out = both.join(made, ["group", "id"], "left").withColumn("copies", F.coalesce("copies", F.lit(0).cast("long")))
+    return both.join(made, ["group", "id"], "left").withColumn("copies", F.coalesce("copies", F.lit(0).cast("long"))).drop("group", "id")
+
+
+def _share(nth: Column) -> Column:
+    """Of the copies of n equal rows those of the nth (from 0)."""
+    return F.floor(F.col("copies") / F.col("n")).cast("long") + F.when(nth < F.col("copies") % F.col("n"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """A row for each row of docs: the key, size (words), source_size, target (of its source) and taken (words, repeats counted).
+
+    Sources in code point order, null last, weigh `weights`, repeating, and share all sizes; a target stops at `most` times
+    its source's size, the excess is reshared. Words taken of a source come within half a document of its target; a document
+    is taken at most `most` times. Equal rows (key, source, size) are rounded together. Empty and null texts have size 0 and
+    taken 0; other columns don't matter; an empty table gives none. Options: those of plan().
+    """
+    out = plan(docs, key, text, source, **options)
     out = out.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    each = F.floor(F.col("copies") / F.col("n")).cast("long") + F.when(F.col("j") < F.col("copies") % F.col("n"), 1).otherwise(0)
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", (each * F.col("size")).alias("taken"))
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", (_share(F.col("j")) * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of docs, all its columns, as often as mix() takes it; those without words are left out."""
+    names = docs.columns
+    made = plan(docs, key, text, source, **options).select(F.col("key").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "copies").filter("copies > 0")
+    made = made.withColumnsRenamed({"n": "_n", "copies": "_c"})
+    rows = docs.withColumn("_size", word_count(F.col(text))).join(made, F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
+    one = rows.filter("_n = 1").withColumn("_times", F.col("_c"))
+    same = Window.partitionBy(key, source, "_size").orderBy(F.lit(0))  # rows alike but for other columns: any order will do
+    share = F.floor(F.col("_c") / F.col("_n")).cast("long") + F.when(F.row_number().over(same) <= F.col("_c") % F.col("_n"), 1).otherwise(0)
+    more = rows.filter("_n > 1").withColumn("_times", share).filter("_times > 0")
+    return one.union(more).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*names)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
