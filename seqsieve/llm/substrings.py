@@ -15,14 +15,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import documents, flat, pieces, stored
 
+#: Occurrences of a sample beyond which its strings are compared by the aggregate.
+HOT = 10_000
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -115,49 +117,108 @@ def _own_strings(size: int, pos: int, length: int) -> tuple[int, int]:
     return max(0, pos - (length - length // 2)), min(pos, size - length)
 
 
+def _own_runs(batch: pa.RecordBatch, column: str, length: int):
+    """For each row and each open sample of the column: the row's cid and place in the data, the sample's identifier, and the
+    starts of the strings whose sample it is. Also the bytes, and the deepest identifiers at each position."""
+    q = length // 2
+    data, offsets = flat(batch.column("text"))
+    ids, least, _, _ = samples(data, offsets, length)
+    grams = gram_ids(data, q)
+    full = _joined(grams, grams, q, q)
+
+    def runs():
+        for cid, o, size, wanted in zip(batch.column("cid").to_pylist(), offsets[:-1].tolist(), np.diff(offsets).tolist(), batch.column(column).to_pylist(), strict=True):
+            last: dict[int, int] = {}
+            for pos in sorted(wanted or []):
+                a, b = _own_strings(size, pos, length)
+                h = ids[o + pos]
+                a = max(a, last.get(int(h), -1) + 1)  # of equal samples in a string the first counts
+                last[int(h)] = pos
+                yield cid, o, h, np.flatnonzero(least[o + a : o + b + 1] == h) + a
+
+    return data, full, runs()
+
+
+def open_runs(candidates: DataFrame, length: int) -> DataFrame:
+    """Rows (h, cid, start, ids): for each open sample the identifiers (8 bytes each) of the strings that are its own, a row for
+    each unbroken run of them."""
+
+    def run(batches):
+        for batch in pieces(batches, "text", 1 << 20):
+            _, full, runs = _own_runs(batch, "open", length)
+            out = []
+            for cid, o, h, starts in runs:
+                for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []:
+                    out.append((int(h.view(np.int64)), cid, int(part[0]), full[o + part].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "cid", "start", "ids"])
+
+    return candidates.filter(F.size("open") > 0).select("cid", "text", "open").mapInArrow(run, "h long, cid long, start int, ids binary")
+
+
+def repeated_runs(runs: DataFrame) -> DataFrame:
+    """Rows (cid, start, again): which strings of each run occur more than once among those of the same h, as a bit each.
+
+    Runs are dealt and sorted by h; a task goes through its buckets and holds one at a time, or a few small ones."""
+
+    def find(rows: pa.Table) -> pa.RecordBatch:
+        raw = rows.column("ids").combine_chunks()
+        sizes = pa.compute.binary_length(raw).to_numpy() // 8
+        ids = np.frombuffer(b"".join(raw.to_pylist()), np.uint64)
+        named = ids ^ np.repeat(_mixed(rows.column("h").to_numpy().view(np.uint64)), sizes)
+        _, which, n = np.unique(named, return_inverse=True, return_counts=True)
+        again, ends = n[which] > 1, np.cumsum(sizes)
+        any_ = np.add.reduceat(again, ends - sizes) > 0
+        bits = [np.packbits(again[e - k : e]).tobytes() for e, k, x in zip(ends.tolist(), sizes.tolist(), any_.tolist(), strict=True) if x]
+        kept = rows.filter(pa.array(any_))
+        one = lambda c: kept.column(c).combine_chunks()
+        return pa.RecordBatch.from_arrays([one("cid"), one("start"), pa.array(bits, pa.binary())], names=["cid", "start", "again"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in pieces(batches, "ids", 4 << 20):
+            held.append(batch)
+            size += batch.nbytes
+            if size < 4 << 20:
+                continue
+            rows = pa.Table.from_batches(held)
+            h = rows.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
+            if cut:
+                yield find(rows.slice(0, cut))
+            held = rows.slice(cut).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held)
+        if held:
+            yield find(pa.Table.from_batches(held))
+
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "cid long, start int, again binary")
+
+
 def open_strings(candidates: DataFrame, length: int) -> DataFrame:
-    """Rows (id1, id2, cid, start): identifiers of the strings whose sample is among the row's open ones. Both are made from
+    """Rows (id1, id2, cid, start): identifiers of the strings whose sample is among the row's hot ones. Both are made from
     all of the string's bytes, the first by refinement, the second by another hash, so that they hold 128 bits."""
-    q = length // 2
 
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
-            data, offsets = flat(batch.column("text"))
-            ids, least, _, _ = samples(data, offsets, length)
-            grams = gram_ids(data, q)
-            full = _joined(grams, grams, q, q)
+            data, full, runs = _own_runs(batch, "hot", length)
             raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
-            cids, bases, starts = [], [], []
-            for cid, o, size, wanted in zip(batch.column("cid").to_pylist(), offsets[:-1].tolist(), np.diff(offsets).tolist(), batch.column("open").to_pylist(), strict=True):
-                last: dict[int, int] = {}
-                for pos in sorted(wanted or []):
-                    a, b = _own_strings(size, pos, length)
-                    h = ids[o + pos]
-                    a = max(a, last.get(int(h), -1) + 1)  # of equal samples in a string the first counts
-                    last[int(h)] = pos
-                    s = np.flatnonzero(least[o + a : o + b + 1] == h) + a
-                    starts.append(s + o)
-                    cids.append(np.full(len(s), cid))
-                    bases.append(np.full(len(s), o))
-            if not starts:
-                continue
-            at, cid, base = map(np.concatenate, (starts, cids, bases))
-            for i in range(0, len(at), 200_000):
-                a = at[i : i + 200_000]
-                second = np.array([digest(raw[s : s + length]) for s in a.tolist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(full[a].view(np.int64)), pa.array(second.view(np.int64)), pa.array(cid[i : i + 200_000]), pa.array((a - base[i : i + 200_000]).astype(np.int32))], names=["id1", "id2", "cid", "start"])
+            for cid, o, _, s in runs:
+                second = np.array([digest(raw[i : i + length]) for i in (s + o).tolist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(full[s + o].view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.full(len(s), cid)), pa.array(s.astype(np.int32))], names=["id1", "id2", "cid", "start"])
 
-    return candidates.filter(F.size("open") > 0).select("cid", "text", "open").mapInArrow(run, "id1 long, id2 long, cid long, start int")
+    return candidates.filter(F.size("hot") > 0).select("cid", "text", "hot").mapInArrow(run, "id1 long, id2 long, cid long, start int")
 
 
-def covered(size: int, settled: list[int], starts: list[int], length: int) -> np.ndarray:
-    """Whether each byte is in a repeated string: those around the settled samples, and those at starts."""
+def covered(size: int, settled: list[int], again: list, starts: list[int], length: int) -> np.ndarray:
+    """Whether each byte is in a repeated string: those around the settled samples, those marked in runs, those at starts."""
     edge = np.zeros(size + 1, np.int64)
     for pos in settled:
         a, b = _own_strings(size, pos, length)
         edge[a] += 1
         edge[b + length] -= 1
-    s = np.array(starts, np.int64)
+    marked = [r["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["again"], np.uint8))) for r in again]
+    s = np.concatenate([np.array(starts, np.int64), *marked])
     np.add.at(edge, s, 1)
     np.add.at(edge, s + length, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -166,62 +227,58 @@ def covered(size: int, settled: list[int], starts: list[int], length: int) -> np
 RESULT = "key binary, n_removed long, n_spans long, kept binary"
 
 
-def repeats(texts: DataFrame, length: int = 400) -> DataFrame:
+def repeats(texts: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """For each distinct text of which something goes: key (its MD5, 16 bytes), n_removed, n_spans and kept (the bytes left).
 
     texts: rows (key, text) with repeats, each of which counts as an occurrence. Every byte goes that lies in a string of
     `length` bytes that starts anywhere else too, in another row or in the same. Copies of a text are worked on once.
+    Strings around samples of buckets of up to `hot` are compared bucket by bucket; those of larger buckets by an aggregate
+    over all strings, so that no bucket must fit a task.
     """
     rows = stored(sampled(texts, length), "samples")
     buckets = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
-    kept = stored(rows.join(buckets.select("h", (F.col("low") == F.col("high")).alias("alike")), "h"), "buckets")
+    kept = stored(rows.join(buckets.select("h", (F.col("low") == F.col("high")).alias("alike"), (F.col("n") > hot).alias("large")), "h"), "buckets")
     mixed = kept.filter("not alike").groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one")).filter("n > 1").select("h", "span", "one")
     # of the alike surroundings in a bucket that also holds others, one lends its strings to the comparison
-    joined = kept.filter("not alike").join(mixed, ["h", "span"], "left").select("key", "pos", F.col("one").isNotNull().alias("settled"), (F.col("one").isNull() | (F.struct("key", "pos") == F.col("one"))).alias("open"))
-    marks = kept.filter("alike").select("key", "pos", F.lit(True).alias("settled"), F.lit(False).alias("open")).union(joined)
-    marks = marks.groupBy("key").agg(F.collect_set(F.when(F.col("settled"), F.col("pos"))).alias("settled"), F.collect_set(F.when(F.col("open"), F.col("pos"))).alias("open"))
+    joined = kept.filter("not alike").join(mixed, ["h", "span"], "left").select("key", "pos", "large", F.col("one").isNotNull().alias("settled"), (F.col("one").isNull() | (F.struct("key", "pos") == F.col("one"))).alias("open"))
+    marks = kept.filter("alike").select("key", "pos", "large", F.lit(True).alias("settled"), F.lit(False).alias("open")).union(joined)
+    marks = marks.groupBy("key").agg(F.collect_set(F.when(F.col("settled"), F.col("pos"))).alias("settled"), *(F.collect_set(F.when(F.col("open") & large, F.col("pos"))).alias(c) for c, large in (("open", ~F.col("large")), ("hot", F.col("large")))))
     distinct = texts.groupBy("key").agg(F.first("text").alias("text"))  # copies meet before the shuffle
     found = distinct.join(marks, "key")
 
-    def numbered(batches):
-        n = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(batch)), pa.int64()), *batch.columns], names=["cid", *batch.schema.names])
-            n += len(batch)
-
-    schema = T.StructType([T.StructField("cid", T.LongType()), *found.schema])
-    candidates = stored(found.mapInArrow(numbered, schema), "candidates")
+    candidates = stored(found.withColumn("cid", F.monotonically_increasing_id()), "candidates")  # numbers that the stored table keeps
+    marked = repeated_runs(open_runs(candidates, length)).groupBy("cid").agg(F.collect_list(F.struct("start", "again")).alias("again"))
     strings = stored(open_strings(candidates, length), "strings")
-    again = strings.groupBy("id1", "id2").agg(F.count("*").alias("n")).filter("n > 1").select("id1", "id2")
-    starts = strings.join(again, ["id1", "id2"], "left_semi").groupBy("cid").agg(F.collect_list("start").alias("starts"))
+    twice = strings.groupBy("id1", "id2").agg(F.count("*").alias("n")).filter("n > 1").select("id1", "id2")
+    starts = strings.join(twice, ["id1", "id2"], "left_semi").groupBy("cid").agg(F.collect_list("start").alias("starts"))
 
     def cut(batches):
         for batch in pieces(batches, "text", 1 << 20):
             out = []
-            for key, text, settled, at in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "settled", "starts")), strict=True):
+            for key, text, settled, again, at in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "settled", "again", "starts")), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
-                gone = covered(len(data), settled, at or [], length)
+                gone = covered(len(data), settled, again or [], at or [], length)
                 if gone.any():
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     out.append((key, int(gone.sum()), spans, data[~gone].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "n_removed", "n_spans", "kept"])
 
-    return candidates.join(starts, "cid", "left").select("key", "text", "settled", "starts").mapInArrow(cut, RESULT)
+    return candidates.join(marked, "cid", "left").join(starts, "cid", "left").select("key", "text", "settled", "again", "starts").mapInArrow(cut, RESULT)
 
 
 def text_key(text) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
     """All columns of docs, then n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; the text is what is left
     of it (a letter that is cut in two goes). A null text counts as empty and stays null; other columns don't matter, but
     those of the names added are replaced. Repeated rows are each other's copies, so long ones lose all. Memory: a text and
     its arrays at a time."""
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
     keyed = docs.select(*own, text_key(F.col(text)).alias("_key"))
-    found = stored(repeats(keyed.select(F.col("_key").alias("key"), F.coalesce(text, F.lit("")).alias("text")), length), "repeats")
+    found = stored(repeats(keyed.select(F.col("_key").alias("key"), F.coalesce(text, F.lit("")).alias("text")), length, hot), "repeats")
     found = found.select(F.col("key").alias("_key"), F.col("n_removed").alias("_removed"), F.col("n_spans").alias("_spans"), F.col("kept").alias("_kept"))
     raw = F.coalesce(text, F.lit("")).cast("binary")
     left = keyed.join(found, "_key", "left")
