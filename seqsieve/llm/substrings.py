@@ -224,11 +224,12 @@ def covered(size: int, settled: list[int], again: list, starts: list[int], lengt
     return np.cumsum(edge[:-1]) > 0
 
 
-RESULT = "key binary, n_removed long, n_spans long, kept binary"
+RESULT = "key binary, n_removed long, n_spans long, kept binary, left string"
 
 
 def repeats(texts: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """For each distinct text of which something goes: key (its MD5, 16 bytes), n_removed, n_spans and kept (the bytes left).
+    """For each distinct text of which something goes: key (its MD5, 16 bytes), n_removed, n_spans, kept (the bytes
+    left) and left (these as a text, without letters that are cut in two).
 
     texts: rows (key, text) with repeats, each of which counts as an occurrence. Every byte goes that lies in a string of
     `length` bytes that starts anywhere else too, in another row or in the same. Copies of a text are worked on once.
@@ -236,7 +237,8 @@ def repeats(texts: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     over all strings, so that no bucket must fit a task.
     """
     rows = stored(sampled(texts, length), "samples")
-    buckets = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
+    # stored, so that both sides of the next join come from shuffles that Spark can split where a bucket is hot
+    buckets = stored(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1"), "repeated")
     kept = stored(rows.join(buckets.select("h", (F.col("low") == F.col("high")).alias("alike"), (F.col("n") > hot).alias("large")), "h"), "buckets")
     mixed = kept.filter("not alike").groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one")).filter("n > 1").select("h", "span", "one")
     # of the alike surroundings in a bucket that also holds others, one lends its strings to the comparison
@@ -260,9 +262,10 @@ def repeats(texts: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
                 gone = covered(len(data), settled, again or [], at or [], length)
                 if gone.any():
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                    out.append((key, int(gone.sum()), spans, data[~gone].tobytes()))
+                    kept = data[~gone].tobytes()
+                    out.append((key, int(gone.sum()), spans, kept, kept.decode(errors="ignore")))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["key", "n_removed", "n_spans", "kept", "left"])
 
     return candidates.join(marked, "cid", "left").join(starts, "cid", "left").select("key", "text", "settled", "again", "starts").mapInArrow(cut, RESULT)
 
@@ -279,11 +282,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, hot:
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
     keyed = docs.select(*own, text_key(F.col(text)).alias("_key"))
     found = stored(repeats(keyed.select(F.col("_key").alias("key"), F.coalesce(text, F.lit("")).alias("text")), length, hot), "repeats")
-    found = found.select(F.col("key").alias("_key"), F.col("n_removed").alias("_removed"), F.col("n_spans").alias("_spans"), F.col("kept").alias("_kept"))
+    found = found.select(F.col("key").alias("_key"), F.col("n_removed").alias("_removed"), F.col("n_spans").alias("_spans"), F.sha2("kept", 256).alias("_sha"), F.col("left").alias("_left"))
     raw = F.coalesce(text, F.lit("")).cast("binary")
     left = keyed.join(found, "_key", "left")
-    shown = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.try_validate_utf8(F.col("_kept").cast("string")))
-    more = {"n_bytes": F.length(raw).cast("long"), "n_removed": F.coalesce("_removed", F.lit(0)).cast("long"), "n_spans": F.coalesce("_spans", F.lit(0)).cast("long"), "kept_sha256": F.sha2(F.coalesce("_kept", raw), 256)}
+    shown = F.coalesce("_left", F.col(text))
+    more = {"n_bytes": F.length(raw).cast("long"), "n_removed": F.coalesce("_removed", F.lit(0)).cast("long"), "n_spans": F.coalesce("_spans", F.lit(0)).cast("long"), "kept_sha256": F.coalesce("_sha", F.sha2(raw, 256))}
     return left.select(*(c for c in own if c != text), shown.alias(text), *(v.alias(k) for k, v in more.items())).select(*own, *more)
 
 

@@ -342,7 +342,7 @@ def brute_repeats(texts, length):
                 gone[i : i + length] = True
         spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
         kept = bytes(np.frombuffer(t, np.uint8)[~gone])
-        out.append((len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
     return out
 
 
@@ -352,8 +352,10 @@ def test_repeats(spark, length, hot):
     base = ["".join(rnd.choices("abcdé ", k=rnd.randint(0, 300))) for _ in range(6)] + ["ab" * 60, "a" * 150, "", "x"]
     texts = ["".join(rnd.choice(base)[rnd.randint(0, 40) : rnd.randint(41, 300)] for _ in range(rnd.randint(0, 5))) for _ in range(200)] + [base[0]] * 3
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df, length=length, hot=hot).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], length)
+    rows = {r.doc_id: r for r in substrings.remove_repeats(df, length=length, hot=hot).collect()}
+    want = brute_repeats([t.encode() for t in texts], length)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (rows[i] for i in range(len(texts)))] == [x[:4] for x in want]
+    assert [rows[i].text for i in range(len(texts))] == [x[4].decode(errors="ignore") for x in want]
 
 
 def test_repeats_of_odd_tables(docs, none):
