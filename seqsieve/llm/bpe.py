@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,6 +19,7 @@ from pyspark.sql import types as T
 from .common import documents, pieces
 
 WORD_END = "</w>"
+INNER, LAST = -1, -2
 NEVER = 1 << 60
 
 
@@ -44,8 +48,9 @@ class Automaton:
         self.rank: dict[int, int] = {}
         self.cut: dict[int, dict[int, int]] = {}
         self.table: dict[int, bool] = {}
-        self.inner: dict[bytes, int] = {}  # arcs by the bytes they spell, inside a word
-        self.last: dict[bytes, int] = {}  # and at its end
+        # arcs by the bytes they spell: a node leads on by byte, and has at INNER and at LAST the token that ends there, inside a
+        # word and at its end
+        self.spelled: dict[int, dict] = {}
         live = set()
         for letter in letters:
             for t in (letter, letter + WORD_END):
@@ -59,12 +64,13 @@ class Automaton:
                 live.add(w)
                 self._spell(a + b, w, letters)
                 self.cut.setdefault(u, {})[v] = r
-        self.longest = max(map(len, [*self.inner, *self.last]), default=0)
 
     def _spell(self, token: str, i: int, letters: dict[str, int]) -> None:
         end = token.endswith(WORD_END)
-        to = self.last if end else self.inner
-        to[bytes(letters[c] for c in (token[: -len(WORD_END)] if end else token))] = i
+        node = self.spelled
+        for c in token[: -len(WORD_END)] if end else token:
+            node = node.setdefault(letters[c], {})
+        node[LAST if end else INNER] = i
 
     def allows(self, a: int, b: int, before: int = NEVER) -> bool:
         """Whether b's arc leaves a's state, of the automaton after the gadgets of ranks under `before`."""
@@ -86,40 +92,71 @@ class Automaton:
     def encode(self, word: bytes) -> list[int]:
         """The one path that spells the word: longest arcs first, back where no arc leaves the state. A prefix has one
         path at most, so an end from which there is no way on is tried once."""
-        n, out, ends, at = len(word), [], [0], 0
-        dead, table, longest = set(), self.table, self.longest
-        size = min(longest, n)
+        n, at, prev, table, root = len(word), 0, -1, self.table, self.spelled
+        out: list[int] = []
+        ways: list[list] = []  # for each arc taken the shorter ones that are left to try, and where it began
+        dead: set[int] = set()
+        arcs: list | None = None
         while at < n:
-            prev = out[-1] if out else -1
-            while size:
-                part = word[at : at + size]
-                t = (self.last if at + size == n else self.inner).get(part, -1)
-                if t >= 0 and at + size not in dead:
-                    if prev < 0:
+            if arcs is None:
+                arcs, node, j = [], root, at
+                while j < n:
+                    node = node.get(word[j])
+                    if node is None:
                         break
+                    j += 1
+                    t = node.get(LAST if j == n else INNER)
+                    if t is not None:
+                        arcs.append((j, t))
+            while arcs:
+                end, t = arcs.pop()
+                if prev >= 0:
                     k = prev << 20 | t
-                    if (ok := table.get(k)) is None:
+                    ok = table.get(k)
+                    if ok is None:
                         ok = table[k] = self.allows(prev, t)
-                    if ok:
-                        break
-                size -= 1
-            if size:
+                    if not ok:
+                        continue
+                if end in dead:
+                    continue
+                ways.append([at, arcs])
                 out.append(t)
-                at += size
-                ends.append(at)
-                size = min(longest, n - at)
+                at, prev, arcs = end, t, None
+                break
             else:
                 dead.add(at)
-                ends.pop()
-                out.pop()  # a word of known bytes has a path, so this isn't empty
-                size, at = at - ends[-1] - 1, ends[-1]
+                at, arcs = ways.pop()  # a word of known bytes has a path, so there is one
+                out.pop()
+                prev = out[-1] if out else -1
         return out
 
 
+class _Words(dict):
+    """Token ids by word, made when first asked for. Cleared by its owner."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.automaton.encode(word.encode()))
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
+def latin_pattern(pattern: str) -> re.Pattern:
+    """The same pattern for texts of U+0000 to U+00FF, with classes written out: the standard engine is faster with these."""
+    letters = [chr(i) for i in range(256)]
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        own = "".join(re.escape(c) for c in letters if regex.fullmatch(name, c) and not (name == r"\s" and "\x1c" <= c <= "\x1f"))
+        pattern = pattern.replace(name, own)
+    return re.compile(pattern)
+
+
 class Tokenizer:
     """Normalisation, pre-split, special tokens and labels of a word-end BPE file (the JSON format of the tokenizers library)."""
 
-    MOST_CACHED = 400_000
+    MOST_CACHED = 900_000  # about 250 MB
 
     def __init__(self, text: str):
         spec = json.loads(text)
@@ -131,21 +168,19 @@ class Tokenizer:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
-        self.cache: dict[str, list[int]] = {}
-
-    def _plain(self, text: str, out: list[int]) -> None:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # one letter at a time: no final sigma
-        cache, encode = self.cache, self.automaton.encode
-        for word in self.words(text.lower()):
-            ids = cache.get(word)
-            if ids is None:
-                if len(cache) >= self.MOST_CACHED:
-                    cache.clear()
-                ids = encode(word.encode())
-                if len(word) <= 64:
-                    cache[word] = ids
-            out += ids
+        self.latin_words = latin_pattern(pattern).findall
+        self.cache = _Words(self.automaton)
+
+    def _plain(self, text: str) -> list[int]:
+        try:
+            text.encode("latin-1")
+            words = self.latin_words(text.lower())  # no such text has a letter to compose
+        except UnicodeEncodeError:
+            # one letter at a time is lower-cased: no final sigma
+            words = self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if len(self.cache) >= self.MOST_CACHED:
+            self.cache.clear()
+        return list(chain.from_iterable(map(self.cache.__getitem__, words)))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -154,10 +189,9 @@ class Tokenizer:
                 if part in self.special:
                     out.append(self.special[part])
                 else:
-                    self._plain(part, out)
-        else:
-            self._plain(text, out)
-        return out
+                    out += self._plain(part)
+            return out
+        return self._plain(text)
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined by spaces; ids without a label are left out."""
@@ -218,7 +252,8 @@ def decoded(tokens: DataFrame, path: str, ids: str = "ids", finish=None, ddl: st
             lists = batch.column(ids)
             for at in range(0, len(lists), 256):
                 part = lists.slice(at, 256)
-                rows = [finish(x, tok.decode(x)) for x in (y or [] for y in part.to_pylist())]
+                flat, ends = part.flatten().to_numpy(), np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(part), 0).to_numpy())
+                rows = [finish(x, tok.decode(x)) for x in (y.tolist() for y in np.split(flat, ends[:-1]))]
                 made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, 256) for c in keep] + made, names=[*keep, *more.names])
 
