@@ -120,7 +120,8 @@ def score_anyfail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str, text: str) -> tuple[DataFrame, object]:
     grid = parse_specs(text)
-    return binning.wide_scores(p.asvs(spark, sf_dir), p.counts(spark, sf_dir), p.memberships(spark, sf_dir), grid.specs), grid
+    groups = p.memberships(spark, sf_dir) if any(s.parts for s in grid.specs) else {}
+    return binning.wide_scores(p.asvs(spark, sf_dir), p.counts(spark, sf_dir), groups, grid.specs), grid
 
 
 _SCORED = _with("counts", "asvs") + (

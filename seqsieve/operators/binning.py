@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +25,11 @@ def binned(counts: DataFrame, memberships: dict[str, DataFrame], spec: Spec) ->
     """(library or total, part columns, asv_id, n): each count in each of its bins (J-2).
 
     counts: (library, asv_id, n); memberships: by part, (group_id, asv_id). A part without a membership is one group, "x".
-    A sequence in several groups counts in each; one in none is in no bin of the spec.
+    A sequence in several groups counts in each; one in none is in no bin of the spec. Counts without a library or sequence
+    are left out, which also lets a later join of totals reuse the counts' shuffle.
     """
-    rows = counts.filter("n > 0").select("library", "asv_id", "n") if spec.base == "library" else total_counts(counts).select(F.lit("total").alias("total"), "asv_id", "n")
+    counts = counts.filter("n > 0 and library is not null and asv_id is not null")
+    rows = counts.select("library", "asv_id", "n") if spec.base == "library" else total_counts(counts).select(F.lit("total").alias("total"), "asv_id", "n")
     for part in spec.parts:
         if part in memberships:
             rows = rows.join(memberships[part].select("asv_id", F.col("group_id").alias(part)), "asv_id")
@@ -59,9 +59,17 @@ def scores(counts: DataFrame, memberships: dict[str, DataFrame], spec: Spec, any
 
 
 def wide_scores(asvs: DataFrame, counts: DataFrame, memberships: dict[str, DataFrame], specs: list[Spec], anyfail: bool = False) -> DataFrame:
-    """asvs (asv_id and more) with a score column for each spec, named as the spec; null where it is in no bin (A-4)."""
-    each = [scores(counts, memberships, s, anyfail).withColumnRenamed("score", s.name) for s in specs]
-    return reduce(lambda a, b: a.join(b, "asv_id", "left"), each, asvs)
+    """asvs (asv_id and more) with a score column for each spec, named as the spec; null where it is in no bin (A-4).
+
+    Specs that share their bins are measured together: one pass over the binned counts gives numbers and shares."""
+    pick, out = F.min if anyfail else F.max, asvs
+    for base, parts in dict.fromkeys((s.base, s.parts) for s in specs):
+        own = [s for s in specs if (s.base, s.parts) == (base, parts)]
+        shares = next((s for s in own if s.metric == "p"), None)
+        rows = bin_values(counts, memberships, shares or own[0])
+        measured = {"n": F.col("n").cast("double"), "p": F.col("value")}
+        out = out.join(rows.groupBy("asv_id").agg(*(pick(measured[s.metric]).alias(s.name) for s in own)), "asv_id", "left")
+    return out
 
 
 def library_size_histogram(counts: DataFrame) -> DataFrame:

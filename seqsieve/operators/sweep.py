@@ -51,7 +51,8 @@ def _retained(scored: DataFrame, names: list[str], levels: list[list[float]]) ->
 
 
 def retained_sums(scored: DataFrame, grid: Grid) -> DataFrame:
-    """threshold_sets(), with r_n, r_t, r_nt, r_o: retained of all, targets, non-targets, others; r_lo, r_hi: others' hashes."""
+    """threshold_sets(), with r_n, r_t, r_nt, r_o: retained of all, targets, non-targets, others; r_lo, r_hi: others' hashes;
+    and a_n to a_hi, the same of all sequences, which are the sums at the lattice's origin, the greatest."""
     sets, out, offset = threshold_sets(scored.sparkSession, grid), None, 0
     for i, size in enumerate(grid.sizes()):
         names = grid.used(i)
@@ -61,7 +62,9 @@ def retained_sums(scored: DataFrame, grid: Grid) -> DataFrame:
             # the k-th threshold keeps the sequences placed at k or above
             own = own.withColumn(f"k{j}", F.array_position(F.array(*map(F.lit, v)), F.col(f"`{threshold_column(n)}`")).cast("int"))
         keys = [f"k{j}" for j in range(len(names))]
-        joined = own.join(_retained(scored, names, levels).withColumnsRenamed({s: f"r_{s}" for s in _SUMS}), keys).drop(*keys)
+        points = _retained(scored, names, levels)
+        whole = points.agg(*(F.max(s).alias(f"a_{s}") for s in _SUMS))  # one row
+        joined = own.join(points.withColumnsRenamed({s: f"r_{s}" for s in _SUMS}), keys).drop(*keys).crossJoin(F.broadcast(whole))
         out, offset = joined if out is None else out.unionByName(joined), offset + size
     return out
 
@@ -92,18 +95,10 @@ def sweep(scored: DataFrame, grid: Grid) -> DataFrame:
     """A row for each threshold set: resultindex, term, thresholds, scores, counts and shares, estimates, rejects_hash.
 
     scored: asv_id, is_target, is_nontarget and a score column per spec. Actual rejects are the rejected and all non-targets,
-    but no target. rejects_hash is the same for sets whose actual rejects are the same (halves' sums and the number are
-    hashed); it depends on nothing else.
+    but no target. rejects_hash is the same for sets whose actual rejects are the same (the halves' sums of the rejected
+    others and the number of rejects are hashed; all sets share the non-targets).
     """
-    zero = F.lit(0).cast("long")
-    h = F.xxhash64(F.col("asv_id").cast("string"))
-    other, bad = ~F.col("is_target") & ~F.col("is_nontarget"), F.col("is_nontarget") & ~F.col("is_target")
-    half = lambda on, x: F.coalesce(F.sum(F.when(on, x).otherwise(zero)), zero)
-    totals = scored.agg(
-        F.count("*").alias("a_n"), F.count_if("is_target").alias("a_t"), F.count_if(bad).alias("a_nt"), F.count_if(other).alias("a_o"),
-        half(other | bad, h.bitwiseAND(0xFFFFFFFF)).alias("a_lo"), half(other | bad, F.shiftrightunsigned(h, 32)).alias("a_hi"),
-    )
-    x = retained_sums(scored, grid).crossJoin(F.broadcast(totals))  # one row
+    x = retained_sums(scored, grid)
     c = F.col
     n, targets, nontargets = c("a_n"), c("a_t"), c("a_nt")
     tp, fp = c("r_t"), c("r_nt")
