@@ -12,6 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tests_helpers import brute_repeats, brute_simhash, words
+
 from seqsieve.llm import bpe, common, fingerprints, langid, mixing, ppm, simhash, substrings, tiff, token_counts, url_filter
 
 TEXTS = [None, "", " \t\n", "a", "The cat sat on the mat.", "The cat sat on the mat.", "the Cat  sat\non the mat", "ß é 漢字 Σ", "word " * 400, "x" * 5000, "12 34 !!", "a b", "a b c d e f g"]
@@ -30,10 +32,6 @@ def none(spark):
     return spark.createDataFrame([], DDL)
 
 
-def words(text):
-    return (text or "").encode().lower().split()
-
-
 def test_flat_and_pieces():
     import pyarrow as pa
 
@@ -332,20 +330,6 @@ def test_fingerprints(spark, docs, none):
 # 6
 
 
-def brute_repeats(texts, length):
-    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-    out = []
-    for t in texts:
-        gone = np.zeros(len(t), bool)
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                gone[i : i + length] = True
-        spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
-        out.append((len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-    return out
-
-
 @pytest.mark.parametrize(("length", "hot"), [(40, 10_000), (40, 2), (20, 10_000), (20, 0)])
 def test_repeats(spark, length, hot):
     rnd = random.Random(7)
@@ -413,13 +397,6 @@ def test_langid_gradients():
 # 8
 
 
-def brute_simhash(text, width=3):
-    w = words(text)
-    shingles = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
-
-
 def test_simhash(docs, none):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(TEXTS) + 2
