@@ -27,18 +27,17 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """asv_ord from 0 without gaps, in the same order: counts by partition are added up, rows are numbered within."""
-    part = F.shiftrightunsigned("asv_ord", 33)
-    sizes = sorted((r[0], r[1]) for r in rows.groupBy(part).count().collect())
-    start, before = 0, []
-    for p, n in sizes:
-        before += [F.lit(p), F.lit(start)]
-        start += n
-    if not before:
-        return rows
     from pyspark.sql import Window
 
-    within = F.row_number().over(Window.partitionBy(part).orderBy("asv_ord")) - 1
-    return rows.withColumn("asv_ord", (within + F.create_map(*before)[part]).cast("long"))
+    rows = rows.withColumn("_part", F.shiftrightunsigned("asv_ord", 33))
+    starts, total = [], 0
+    for part, size in sorted(map(tuple, rows.groupBy("_part").count().collect())):  # as many rows as partitions
+        starts.append((part, total))
+        total += size
+    start = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("asv_ord")) - 1
+    placed = rows.withColumn("_within", within).join(F.broadcast(start), "_part")
+    return placed.withColumn("asv_ord", F.col("_start") + F.col("_within")).drop("_part", "_start", "_within").select(*[c for c in rows.columns if c != "_part"])
 
 
 def check_unique(rows: DataFrame, column: str) -> None:
