@@ -237,10 +237,10 @@ def repeats(texts: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     over all strings, so that no bucket must fit a task.
     """
     rows = stored(sampled(texts, length), "samples")
-    # stored, so that both sides of the next join come from shuffles that Spark can split where a bucket is hot
+    # this and `mixed` are stored, so that the joins with them are fed by plain shuffles, which Spark can split where one is hot
     buckets = stored(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1"), "repeated")
     kept = stored(rows.join(buckets.select("h", (F.col("low") == F.col("high")).alias("alike"), (F.col("n") > hot).alias("large")), "h"), "buckets")
-    mixed = kept.filter("not alike").groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one")).filter("n > 1").select("h", "span", "one")
+    mixed = stored(kept.filter("not alike").groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one")).filter("n > 1").select("h", "span", "one"), "mixed")
     # of the alike surroundings in a bucket that also holds others, one lends its strings to the comparison
     joined = kept.filter("not alike").join(mixed, ["h", "span"], "left").select("key", "pos", "large", F.col("one").isNotNull().alias("settled"), (F.col("one").isNull() | (F.struct("key", "pos") == F.col("one"))).alias("open"))
     marks = kept.filter("alike").select("key", "pos", "large", F.lit(True).alias("settled"), F.lit(False).alias("open")).union(joined)
