@@ -25,12 +25,13 @@ def ranked(groups: DataFrame, by: str) -> DataFrame:
     n = shuffle_partitions(groups.sparkSession)
     order = F.col(by).asc_nulls_last()
     dealt = stored(groups.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts, before, total = dict(dealt.groupBy("_range").count().collect()), {}, 0  # as many rows as ranges
-    for r in sorted(counts):
-        before[r], total = total, total + counts[r]
-    start = F.create_map(*(F.lit(x).cast("long") for kv in before.items() for x in kv)) if before else F.create_map().cast("map<bigint,bigint>")
+    starts, total = [], 0
+    for r, size in sorted(map(tuple, dealt.groupBy("_range").count().collect())):  # as many rows as ranges
+        starts.append((r, total))
+        total += size
+    start = groups.sparkSession.createDataFrame(starts, "_range int, _start long")
     within = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return dealt.withColumn("_rank", within + start[F.col("_range").cast("long")]).drop("_range")
+    return dealt.withColumn("_within", within).join(F.broadcast(start), "_range").withColumn("_rank", F.col("_start") + F.col("_within")).drop("_range", "_within", "_start")
 
 
 def water_filled(sources: DataFrame, total: float, most: float) -> DataFrame:
