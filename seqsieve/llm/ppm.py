@@ -1,12 +1,13 @@
 """LM scoring by prediction by partial matching: a byte-context trie, learned once, gives each document's code length.
 
-A text is read as its words (A-Z lower-cased), each ended by a space, then an end. The context of a byte is up to ORDER
-bytes before it, back to the space before its word. Escapes are estimated as in method C (as many as symbols seen in the
-context), and symbols seen in the longer contexts are excluded from the shorter ones.
-
-As contexts don't reach over a word, all occurrences of a word have one probability. So the trie is counted from the
-vocabulary, each distinct word is scored once, and documents add up the scores of their words. All of these are tables that
-grow with the corpus: the trie's nodes are grouped by the last two bytes of their contexts, the words by blocks.
+A text is read as its words (A-Z lower-cased), each ended by a space, then an end. The context of a byte is the ORDER bytes
+before it, whatever words they are in; before a text there are ends. Escapes are estimated as in method C (as many as symbols
+seen in the context), and symbols seen in the longer contexts are excluded from the shorter ones.
+
+The trie is counted from all windows (a context and its byte) of the texts, each distinct window is scored once, and
+documents add up the scores of theirs. The windows are tables, grouped by the last two bytes of their contexts; the most
+frequent ones are at hand in each task, the others are joined. score_documents() is the model whose contexts stop at the space
+before the word, where all occurrences of a word have one probability; the query doesn't use it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import documents, fold, pieces, stored
 ORDER = 5
 #: At most so many of the most frequent words are at hand in every task; the others are joined.
 HEAD = 1 << 17
+#: At most so many of the most frequent windows (a context and its byte) are at hand in every task; the others are joined.
+WINDOWS = 1 << 20
 #: Words of a block, about.
 BLOCK = 400_000
 SPACE, END = 0x20, b"\n"
@@ -76,14 +79,29 @@ def context_sizes(code: np.ndarray, order: int) -> np.ndarray:
     return size
 
 
+def text_windows(texts: list[list[bytes]], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of texts given as words: its context and itself in one number, and the text it is in. Contexts reach
+    over words; before a text there are ends."""
+    parts = [END * order + b" ".join([*words[:-1], END]) for words in texts]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    code = data.astype(np.uint64)
+    for j in range(1, order + 1):
+        code[j:] |= data[:-j].astype(np.uint64) << np.uint64(8 * j)
+    text = np.repeat(np.arange(len(parts)), sizes)
+    own = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= order
+    return code[own], text[own]
+
+
 def _mask(n: int) -> np.uint64:
     return np.uint64((1 << 8 * n) - 1)
 
 
-def window_scores(code: np.ndarray, c: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
+def window_scores(code: np.ndarray, c: np.ndarray, pairs: np.ndarray, order: int = ORDER, across: bool = False) -> np.ndarray:
     """log10 of the probability of each window's byte. code: distinct windows, with all those that share the last two bytes
-    of a context together; c: their counts; pairs: 256 x 256 counts of each byte after each other byte, over all windows."""
-    n, size = len(code), context_sizes(code, order)
+    of a context together; c: their counts; pairs: 256 x 256 counts of each byte after each other byte, over all windows; across:
+    contexts reach over words."""
+    n, size = len(code), np.full(len(code), order) if across else context_sizes(code, order)
     single = pairs.sum(axis=0)
     # counts of the symbol, of the context, and of the context's distinct symbols, by order; and what the symbols seen in the
     # context that is one longer count there
@@ -218,7 +236,103 @@ def score_documents(docs: DataFrame, text: str, train: str, order: int = ORDER,
     return out.select(*keep, F.col("_n").alias("n_tokens"), both("_known", "k", 0).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), both("_score", "s", 0.0).alias("score"))
 
 
+def score_windows(docs: DataFrame, text: str, train: str, order: int = ORDER) -> DataFrame:
+    """Rows (code: long, c, score): the distinct windows of all texts, their counts where train is true, and log10 of the
+    probability that the trie over them gives the window's byte."""
+
+    def run(batches):
+        for batch in pieces(batches, text):
+            use = np.array(batch.column(train).to_pylist(), bool)
+            code, of = text_windows([_words(x) for x in batch.column(text).to_pylist()], order)
+            learned, c = np.unique(code[use[of]], return_counts=True)
+            others = np.setdiff1d(code[~use[of]], learned)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((learned, others)).view(np.int64)), pa.array(np.concatenate((c, np.zeros(len(others), np.int64))))], names=["code", "c"])
+
+    nodes = stored(docs.select(text, train).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "nodes")
+    last = F.shiftrightunsigned("code", 8).bitwiseAND(255)
+    pairs = np.zeros((256, 256))
+    for a, b, c in nodes.groupBy(last, F.col("code").bitwiseAND(255)).agg(F.sum("c")).collect():  # 65,536 rows at most
+        pairs[a, b] = c
+
+    def scores(table: pa.Table) -> pa.Table:
+        code, c = table.column("code").to_numpy(), table.column("c").to_numpy()
+        return pa.table({"code": code, "c": c, "score": window_scores(code.view(np.uint64), c, pairs, order, across=True)})
+
+    group = nodes.groupBy(F.shiftrightunsigned("code", 8).bitwiseAND(65535))
+    return stored(group.applyInArrow(scores, "code long, c long, score double"), "scores")
+
+
+def _words(text: str | None) -> list[bytes]:
+    return [*(text or "").encode().lower().split(), END]
+
+
+def score_texts(docs: DataFrame, text: str, train: str, order: int = ORDER, head: int = HEAD, windows: int = WINDOWS) -> DataFrame:
+    """As score_documents(), but score is that of the text's bytes in contexts that reach over words: the trie is counted
+    from all windows of the texts. Of the words at most `head`, of the windows at most `windows` are at hand in each task, the
+    most frequent ones; all others are joined."""
+    spark, added = docs.sparkSession, ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    keep = [c for c in docs.columns if c not in (text, *added)]
+    learned = docs.select(text, F.coalesce(train, F.lit(False)).alias(train))
+    vocabulary = stored(count_words(learned, text, train), "words")
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    below = log10(total + 0.5 * (distinct + 1))
+    known = score_windows(learned, text, train, order)
+    top = vocabulary.filter(F.col("c") >= _least_count(vocabulary, head)).toArrow()
+    places = {w: i for i, w in enumerate(top.column("word").to_pylist())}
+    c = top.column("c").to_numpy()
+    near = known.filter(F.col("c") >= _least_count(known, windows)).select("code", "score").toArrow()
+    codes = near.column("code").to_numpy().view(np.uint64)
+    by = np.argsort(codes)
+    shared = spark.sparkContext.broadcast((places, np.stack((np.log10(c + 0.5) - below, c > 0), axis=1), codes[by], near.column("score").to_numpy()[by]))
+
+    def run(batches):
+        places, numbers, codes, scores = shared.value
+        row = TaskContext.get().partitionId() << 33
+        get = places.get
+        for batch in pieces(batches, text):
+            texts = [_words(x) for x in batch.column(text).to_pylist()]
+            n = len(texts)
+            sizes = np.fromiter(map(len, texts), np.int64, n)
+            whose = np.repeat(np.arange(n), sizes)
+            at = np.fromiter((get(w, -1) for words in texts for w in words), np.int64, int(sizes.sum()))
+            here = at >= 0
+            base, have = (np.bincount(whose[here], numbers[at[here], k], n) for k in (0, 1))
+            far = np.flatnonzero(~here)
+            flat_words = [w for words in texts for w in words]
+            rare = [flat_words[i] for i in far.tolist()]
+            code, of = text_windows(texts, order)
+            code, which = np.unique(code, return_inverse=True)
+            place = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+            found = codes[place] == code if len(codes) else np.zeros(len(code), bool)
+            each = np.where(found, scores[place], 0.0) if len(codes) else np.zeros(len(code))
+            score = np.bincount(of, each[which], n)
+            lost = np.flatnonzero(~found[which])
+            own = [batch.column(c) for c in keep]
+            m, k = len(rare), len(lost)
+            none = lambda size, *types: [pa.nulls(size, t) for t in types]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(range(row, row + n), pa.int64()), *none(n, pa.binary(), pa.int64()), pa.array(sizes), pa.array(have.astype(np.int64)), pa.array(base), pa.array(score)], names=names)
+            blank = lambda size: none(size, *(x.type for x in own))
+            rest = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*blank(m), pa.array(row + whose[far]), pa.array(rare, pa.binary()), *none(m, pa.int64(), *rest)], names=names)
+            yield pa.RecordBatch.from_arrays([*blank(k), pa.array(row + of[lost]), *none(k, pa.binary()), pa.array(code[which[lost]].view(np.int64)), *none(k, *rest)], names=names)
+            row += n
+
+    names = [*keep, "_row", "_word", "_code", "_n", "_known", "_base", "_score"]
+    picked = docs.select(*keep, text)
+    nullable = [T.StructField(f.name, f.dataType) for f in picked.select(*keep).schema]
+    more = T.StructType.fromDDL("_row long, _word binary, _code long, _n long, _known long, _base double, _score double")
+    rows = stored(picked.mapInArrow(run, T.StructType([*nullable, *more])), "tokens")
+    rare = rows.filter("_word is not null").select("_row", F.col("_word").alias("word")).join(vocabulary, "word")
+    rare = rare.groupBy("_row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum(F.log10(F.col("c") + 0.5) - F.lit(below)).alias("b"))
+    lost = rows.filter("_code is not null").groupBy("_row", F.col("_code").alias("code")).agg(F.count("*").alias("times"))
+    lost = lost.join(known.select("code", "score"), "code").groupBy("_row").agg(F.sum(F.col("score") * F.col("times")).alias("s"))
+    out = rows.filter("_n is not null").join(rare, "_row", "left").join(lost, "_row", "left")
+    both = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
+    base = both("_base", "b", 0.0) if total else F.lit(None).cast("double")
+    return out.select(*keep, F.col("_n").alias("n_tokens"), both("_known", "k", 0).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), both("_score", "s", 0.0).alias("score"))
+
+
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold(F.col("doc_id"), 5) == 1
     rows = documents(spark, sf_dir).select("doc_id", held.alias("held_out"), (~held).alias("train"), "text")
-    return score_documents(rows, "text", "train").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_texts(rows, "text", "train").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
