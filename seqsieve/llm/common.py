@@ -79,6 +79,14 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def _least_neighbour(edges: DataFrame, salts: int = 16) -> DataFrame:
+    """Edges (u, v) with m, the least v of each u. A node of many edges is met in `salts` parts, so that none is one task's."""
+    salted = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
+    part = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    told = part.select("u", "s").join(part.groupBy("u").agg(F.min("m").alias("m")), "u")
+    return salted.join(told, ["u", "s"]).drop("s")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between longs: rows (node, component), component the smallest node.
 
@@ -90,10 +98,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = e
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u != v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u")
+        large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        star = _least_neighbour(large)
         new = star.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(star.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         new = stored(new, "edges")
         # a forest of stars: no node is both a leaf and a centre, and no leaf has two centres

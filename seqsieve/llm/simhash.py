@@ -87,7 +87,7 @@ def within_budget(fps: DataFrame, most: int) -> DataFrame:
     ones = F.bit_count(after.bitwiseAND((1 << width) - 1)).cast("int")
     grouped = keyed.withColumn("ones", ones).groupBy("key").agg(F.count("*").alias("n"), *(F.sum((F.col("ones") == i).cast("long")).alias(f"n{i}") for i in range(width + 1)))
     grouped = grouped.filter("n > 1").select("key", F.array(*(f"n{i}" for i in range(width + 1))).alias("by_ones"))
-    kept = keyed.withColumn("ones", ones).join(grouped, "key")
+    kept = keyed.withColumn("ones", ones).join(stored(grouped, "chains"), "key")  # stored: a hot chain's join can be split
     near = F.get(F.col("by_ones"), F.col("ones") - 1), F.get(F.col("by_ones"), F.col("ones")), F.get(F.col("by_ones"), F.col("ones") + 1)
     return kept.filter(sum(F.coalesce(x, F.lit(0)) for x in near) > 1).select("fp").distinct()
 

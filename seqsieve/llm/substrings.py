@@ -1,12 +1,14 @@
-"""Suffix-array dedup of byte strings that occur more than once: bucket-pointer refinement on sampled and on open positions.
-
-Suffixes need to be told apart to a depth of `length` bytes only. A bucket identifier of a position's q-gram is made from
-those of the q-grams half as long at the position and at a later offset (25, 50, 100, 200, 400), the updates of one level
-used by the next. Buckets of one suffix are dropped as soon as they show, which leaves very few for the deepest level:
-1. of each 400-byte string the 200-gram with the least identifier is sampled; only strings whose sample is in a bucket of
-   two or more can be repeated;
-2. a sample whose whole surroundings (all 400-byte strings around it) are in a bucket of two or more settles these;
-3. the strings around the other samples get identifiers of their own, and buckets of two or more are repeated.
+"""Suffix-array dedup of byte strings that occur more than once: bucket-pointer refinement, to the depths that count.
+
+Suffixes are told apart to a depth of `lengths` bytes only (200, then 400), and buckets of one are dropped at each level:
+1. q-gram buckets (q = 64): of each 200-byte string the q-gram with the least identifier is sampled. A table of the samples
+   is grouped by identifier; strings whose sample is alone in its bucket can't be repeated;
+2. a sample whose whole surroundings (all strings around it) are in a bucket of two or more settles these;
+3. the strings around the other samples are refined bucket by bucket: sorted by their identifiers to depth 200, which are
+   made from those of their q-grams and of those at later offsets; new buckets are runs of equal ones;
+4. the next depth reuses these updates: only strings whose 200 bytes and whose 200 bytes at the later offset are both in
+   buckets of two or more are sorted, by the pair of identifiers at both offsets.
+Two strings are one if they have the same q-gram bucket and the same identifier of the level, 128 bits in all.
 """
 
 from __future__ import annotations
@@ -74,10 +76,25 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
+def refined_ids(ids: np.ndarray, depth: int, wanted: int) -> np.ndarray:
+    """Identifiers to the depth `wanted` from those to a smaller one: each step pairs a position's with a later offset's."""
+    while depth < wanted:
+        step = min(2 * depth, wanted)
+        n = max(0, len(ids) - (step - depth))
+        ids = _mixed(ids[:n]) * np.uint64(_BASE) + ids[step - depth : step - depth + n]
+        depth = step
+    return ids
+
+
+def first_gram(length: int) -> int:
+    """Bytes of the initial q-grams: 64 for 200."""
+    return max(1, 8 * length // 25)
+
+
 def samples(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Mixed identifiers of the grams of half the length at each position; the least of them in the string at each position
-    (only where a string of a document starts; else 0); the positions sampled; and the document of each."""
-    q = length // 2
+    """Mixed identifiers of the q-grams at each position; the least of them in the string at each position (only where a string
+    of a document starts; else 0); the positions sampled; and the document of each."""
+    q = first_gram(length)
     ids = _mixed(gram_ids(data, q))
     least = _sliding(ids, length - q + 1, np.minimum)
     sizes = np.diff(offsets)
@@ -94,80 +111,120 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return ids, least, at, np.searchsorted(offsets, at, "right") - 1
 
 
-def sampled(texts: DataFrame, length: int) -> DataFrame:
-    """Rows (key, pos, size, h, span) of the samples of each row (key, text): h the bucket identifier of the 200-gram, span
-    that of all bytes that strings around it have, with where they end."""
-    q = length // 2
+def sampled(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Rows (key, pos, h, span) of the samples of each row (key, text): h the bucket identifier of the q-gram, span that of all
+    bytes that strings around it have, with where they end."""
+    short, long = lengths[0], lengths[-1]
+    back = short - first_gram(short)
 
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
             data, offsets = flat(batch.column("text"))
-            ids, _, at, doc = samples(data, offsets, length)
+            ids, _, at, doc = samples(data, offsets, short)
             pos, size, raw = at - offsets[doc], np.diff(offsets)[doc], data.tobytes()
-            left, right = np.minimum(pos, length - q), np.minimum(size - pos, length)
+            left, right = np.minimum(pos, back), np.minimum(size - pos, long)
             digest = xxhash.xxh3_64_intdigest
             span = [digest(raw[a - x : a + y], x << 32 | y) for a, x, y in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ids[at].view(np.int64)), pa.array(np.array(span, np.uint64).view(np.int64))], names=["key", "pos", "size", "h", "span"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(ids[at].view(np.int64)), pa.array(np.array(span, np.uint64).view(np.int64))], names=["key", "pos", "h", "span"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, pos int, h long, span long")
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, pos int, size int, h long, span long")
 
+def _own_strings(size: int, pos: int, lengths: tuple[int, ...], level: int) -> tuple[int, int]:
+    """First and last start of the strings of the level's length whose first lengths[0] bytes hold the whole sample at pos."""
+    return max(0, pos - (lengths[0] - first_gram(lengths[0]))), min(pos, size - lengths[level])
 
-def _own_strings(size: int, pos: int, length: int) -> tuple[int, int]:
-    """First and last start of the strings that hold the whole sample at pos."""
-    return max(0, pos - (length - length // 2)), min(pos, size - length)
 
+def _marked(again: list | None, starts: list[int] | None) -> np.ndarray:
+    """The starts marked by refinement: bits of runs, and single ones."""
+    bits = [r["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["again"], np.uint8))) for r in again or []]
+    return np.concatenate([np.array(starts or [], np.int64), *bits]).astype(np.int64)
 
-def _own_runs(batch: pa.RecordBatch, column: str, length: int):
-    """For each row and each open sample of the column: the row's cid and place in the data, the sample's identifier, and the
-    starts of the strings whose sample it is. Also the bytes, and the deepest identifiers at each position."""
-    q = length // 2
+
+def repeated_starts(size: int, settled: list[int], again: list | None, starts: list[int] | None, lengths: tuple[int, ...], level: int) -> np.ndarray:
+    """For each start of a string of the level's length, whether the string is repeated."""
+    n = max(0, size - lengths[level] + 1)
+    edge = np.zeros(n + 1, np.int32)
+    for pos in settled:
+        a, b = _own_strings(size, pos, lengths, level)
+        if a <= b:
+            edge[a] += 1
+            edge[b + 1] -= 1
+    found = np.cumsum(edge[:-1]) > 0
+    found[_marked(again, starts)] = True
+    return found
+
+
+def _own_runs(batch: pa.RecordBatch, column: str, lengths: tuple[int, ...], level: int):
+    """For each row and each open sample of the column: the row's place in the batch and in the data, the sample's identifier,
+    and the starts of the strings whose sample it is and which are open at the level. Also the identifiers of the level."""
+    short, more = lengths[0], lengths[level] - lengths[level - 1]
     data, offsets = flat(batch.column("text"))
-    ids, least, _, _ = samples(data, offsets, length)
-    grams = gram_ids(data, q)
-    full = _joined(grams, grams, q, q)
+    ids, least, _, _ = samples(data, offsets, short)
+    full = refined_ids(gram_ids(data, first_gram(short)), first_gram(short), lengths[level])
 
     def runs():
-        for cid, o, size, wanted in zip(batch.column("cid").to_pylist(), offsets[:-1].tolist(), np.diff(offsets).tolist(), batch.column(column).to_pylist(), strict=True):
+        sizes, columns = np.diff(offsets).tolist(), [batch.column(c).to_pylist() for c in (column, "settled", *(["again", "starts"] if level else []))]
+        for i, (o, size, wanted, settled, *before) in enumerate(zip(offsets[:-1].tolist(), sizes, *columns, strict=True)):
+            if not wanted:
+                continue
+            if level:
+                known = repeated_starts(size, settled, *before, lengths, level - 1)
+                known = known[: len(known) - more] & known[more:] if len(known) > more else known[:0]
             last: dict[int, int] = {}
-            for pos in sorted(wanted or []):
-                a, b = _own_strings(size, pos, length)
+            for pos in sorted(wanted):
+                a, b = _own_strings(size, pos, lengths, level)
                 h = ids[o + pos]
                 a = max(a, last.get(int(h), -1) + 1)  # of equal samples in a string the first counts
                 last[int(h)] = pos
-                yield cid, o, h, np.flatnonzero(least[o + a : o + b + 1] == h) + a
+                if a <= b:
+                    own = least[o + a : o + b + 1] == h
+                    yield i, o, h, np.flatnonzero(own & known[a : b + 1] if level else own) + a
 
-    return data, full, runs()
+    return full, runs()
 
 
-def open_runs(candidates: DataFrame, length: int) -> DataFrame:
-    """Rows (h, cid, start, ids): for each open sample the identifiers (8 bytes each) of the strings that are its own, a row for
-    each unbroken run of them."""
+def open_runs(candidates: DataFrame, lengths: tuple[int, ...], level: int) -> DataFrame:
+    """Rows (h, key, cid, start, ids): for each open sample the identifiers (8 bytes each) of the strings that are its own, a
+    row for each unbroken run of them."""
 
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
-            _, full, runs = _own_runs(batch, "open", length)
-            out = []
-            for cid, o, h, starts in runs:
+            full, runs = _own_runs(batch, "open", lengths, level)
+            which, out = [], []
+            for i, o, h, starts in runs:
                 for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []:
-                    out.append((int(h.view(np.int64)), cid, int(part[0]), full[o + part].tobytes()))
+                    which.append(i)
+                    out.append((int(h.view(np.int64)), int(part[0]), full[o + part].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "cid", "start", "ids"])
+                h, start, ids = (pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True))
+                own = pa.array(which, pa.int64())
+                yield pa.RecordBatch.from_arrays([h, batch.column("rank").take(own), batch.column("cid").take(own), start, ids], names=["h", "rank", "cid", "start", "ids"])
 
-    return candidates.filter(F.size("open") > 0).select("cid", "text", "open").mapInArrow(run, "h long, cid long, start int, ids binary")
+    return candidates.filter(F.size("open") > 0).mapInArrow(run, "h long, rank long, cid long, start int, ids binary")
 
 
-def repeated_runs(runs: DataFrame) -> DataFrame:
-    """Rows (cid, start, again): which strings of each run occur more than once among those of the same h, as a bit each.
+def repeated_runs(runs: DataFrame, keep_first: bool) -> DataFrame:
+    """Rows (cid, start, again): which strings of each run occur more than once among those of the same h, as a bit each; with
+    keep_first, which occur before (in a text of a lesser rank, or earlier in the same).
 
-    Runs are dealt and sorted by h; a task goes through its buckets and holds one at a time, or a few small ones."""
+    Runs are dealt and sorted by h; a task goes through its buckets and refines one at a time, or a few small ones."""
 
     def find(rows: pa.Table) -> pa.RecordBatch:
         raw = rows.column("ids").combine_chunks()
         sizes = pa.compute.binary_length(raw).to_numpy() // 8
         ids = np.frombuffer(b"".join(raw.to_pylist()), np.uint64)
-        named = ids ^ np.repeat(_mixed(rows.column("h").to_numpy().view(np.uint64)), sizes)
-        _, which, n = np.unique(named, return_inverse=True, return_counts=True)
-        again, ends = n[which] > 1, np.cumsum(sizes)
+        h = rows.column("h").to_numpy()
+        bucket = np.repeat(np.cumsum(np.concatenate(([False], h[1:] != h[:-1]))), sizes)
+        ends = np.cumsum(sizes)
+        if keep_first:
+            start = np.arange(len(ids)) - np.repeat(ends - sizes - rows.column("start").to_numpy(), sizes)
+            by = np.lexsort((start, np.repeat(rows.column("cid").to_numpy(), sizes), np.repeat(rows.column("rank").to_numpy(), sizes), ids, bucket))
+        else:
+            by = np.lexsort((ids, bucket))
+        as_before = np.concatenate(([False], (ids[by[1:]] == ids[by[:-1]]) & (bucket[by[1:]] == bucket[by[:-1]])))
+        again = np.empty(len(ids), bool)
+        again[by] = as_before if keep_first else as_before | np.append(as_before[1:], False)
         any_ = np.add.reduceat(again, ends - sizes) > 0
         bits = [np.packbits(again[e - k : e]).tobytes() for e, k, x in zip(ends.tolist(), sizes.tolist(), any_.tolist(), strict=True) if x]
         kept = rows.filter(pa.array(any_))
@@ -195,93 +252,112 @@ def repeated_runs(runs: DataFrame) -> DataFrame:
     return runs.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "cid long, start int, again binary")
 
 
-def open_strings(candidates: DataFrame, length: int) -> DataFrame:
-    """Rows (id1, id2, cid, start): identifiers of the strings whose sample is among the row's hot ones. Both are made from
-    all of the string's bytes, the first by refinement, the second by another hash, so that they hold 128 bits."""
+def open_strings(candidates: DataFrame, lengths: tuple[int, ...], level: int) -> DataFrame:
+    """Rows (h, id, rank, cid, start) of the strings whose sample is among the row's hot ones."""
 
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
-            data, full, runs = _own_runs(batch, "hot", length)
-            raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
-            for cid, o, _, s in runs:
-                second = np.array([digest(raw[i : i + length]) for i in (s + o).tolist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(full[s + o].view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.full(len(s), cid)), pa.array(s.astype(np.int32))], names=["id1", "id2", "cid", "start"])
-
-    return candidates.filter(F.size("hot") > 0).select("cid", "text", "hot").mapInArrow(run, "id1 long, id2 long, cid long, start int")
-
-
-def covered(size: int, settled: list[int], again: list, starts: list[int], length: int) -> np.ndarray:
-    """Whether each byte is in a repeated string: those around the settled samples, those marked in runs, those at starts."""
-    edge = np.zeros(size + 1, np.int64)
-    for pos in settled:
-        a, b = _own_strings(size, pos, length)
-        edge[a] += 1
-        edge[b + length] -= 1
-    marked = [r["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["again"], np.uint8))) for r in again]
-    s = np.concatenate([np.array(starts, np.int64), *marked])
-    np.add.at(edge, s, 1)
-    np.add.at(edge, s + length, -1)
+            full, runs = _own_runs(batch, "hot", lengths, level)
+            for i, o, h, s in runs:
+                same = lambda c: pa.array(np.full(len(s), batch.column(c)[i].as_py()))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), h).view(np.int64)), pa.array(full[s + o].view(np.int64)), same("rank"), same("cid"), pa.array(s.astype(np.int32))], names=["h", "id", "rank", "cid", "start"])
+
+    return candidates.filter(F.size("hot") > 0).mapInArrow(run, "h long, id long, rank long, cid long, start int")
+
+
+def refine(candidates: DataFrame, lengths: tuple[int, ...], level: int, keep_first: bool, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The marks of a level: (cid, again), the bits of runs, and (cid, starts), those of hot buckets, which are compared by an
+    aggregate over strings, joined again in `salts` parts each."""
+    runs = repeated_runs(open_runs(candidates, lengths, level), keep_first)
+    marked = runs.groupBy("cid").agg(F.collect_list(F.struct("start", "again")).alias("again"))
+    strings = stored(open_strings(candidates, lengths, level), "strings").withColumn("salt", F.pmod("cid", F.lit(salts)))
+    twice = strings.groupBy("h", "id").agg(F.count("*").alias("n"), F.min(F.struct("rank", "cid", "start")).alias("first")).filter("n > 1")
+    twice = stored(twice, "twice").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    again = strings.join(twice, ["h", "id", "salt"])
+    if keep_first:
+        again = again.filter(F.struct("rank", "cid", "start") != F.col("first"))
+    return marked, again.groupBy("cid").agg(F.collect_list("start").alias("starts"))
+
+
+def covered(size: int, repeated: np.ndarray, length: int) -> np.ndarray:
+    """Whether each byte is in a string of the length that starts where `repeated` says so."""
+    edge = np.zeros(size + 1, np.int32)
+    edge[: len(repeated)] += repeated
+    edge[length : length + len(repeated)] -= repeated
     return np.cumsum(edge[:-1]) > 0
 
 
-RESULT = "key binary, n_removed long, n_spans long, kept binary, left string"
+RESULT = "key binary, n_removed long, n_spans long, n_shared long, kept binary, left string"
 
 
-def repeats(texts: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """For each distinct text of which something goes: key (its MD5, 16 bytes), n_removed, n_spans, kept (the bytes
-    left) and left (these as a text, without letters that are cut in two).
+def repeats(texts: DataFrame, lengths: tuple[int, ...] = (200, 400), hot: int = HOT, keep_first: bool = False) -> DataFrame:
+    """For each distinct text that has something repeated: key (its MD5, 16 bytes), n_removed, n_spans, n_shared, kept (the
+    bytes left) and left (these as a text, without letters that are cut in two).
 
     texts: rows (key, text) with repeats, each of which counts as an occurrence. Every byte goes that lies in a string of
-    `length` bytes that starts anywhere else too, in another row or in the same. Copies of a text are worked on once.
+    lengths[-1] bytes that starts anywhere else too, in another row or in the same; n_shared counts those in such strings of
+    lengths[0] bytes. With keep_first (and one length) only those that start earlier too, in the same text or in one of a lesser
+    key, so that one occurrence stays; copies of a text are then no occurrences of their own. Copies are worked on once.
     Strings around samples of buckets of up to `hot` are compared bucket by bucket; those of larger buckets by an aggregate
-    over all strings, so that no bucket must fit a task.
+    over all strings, by the same identifiers, so that no bucket must fit a task.
     """
-    rows = stored(sampled(texts, length), "samples")
+    if keep_first and len(lengths) > 1:
+        raise ValueError("keep_first takes one length")
+    rows = stored(sampled(texts, lengths), "samples")
     # this and `mixed` are stored, so that the joins with them are fed by plain shuffles, which Spark can split where one is hot
     buckets = stored(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1"), "repeated")
     kept = stored(rows.join(buckets.select("h", (F.col("low") == F.col("high")).alias("alike"), (F.col("n") > hot).alias("large")), "h"), "buckets")
-    mixed = stored(kept.filter("not alike").groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one")).filter("n > 1").select("h", "span", "one"), "mixed")
+    own = F.struct("key", "pos")
+    mixed = stored(kept.filter(F.lit(keep_first) | ~F.col("alike")).groupBy("h", "span").agg(F.count("*").alias("n"), F.min(own).alias("one")).filter("n > 1").select("h", "span", "one"), "mixed")
     # of the alike surroundings in a bucket that also holds others, one lends its strings to the comparison
-    joined = kept.filter("not alike").join(mixed, ["h", "span"], "left").select("key", "pos", "large", F.col("one").isNotNull().alias("settled"), (F.col("one").isNull() | (F.struct("key", "pos") == F.col("one"))).alias("open"))
-    marks = kept.filter("alike").select("key", "pos", "large", F.lit(True).alias("settled"), F.lit(False).alias("open")).union(joined)
+    joined = (kept if keep_first else kept.filter("not alike")).join(mixed, ["h", "span"], "left")
+    first = F.col("one").isNull() | (own == F.col("one"))
+    settled = ~first if keep_first else F.col("one").isNotNull()
+    marks = joined.select("key", "pos", "large", settled.alias("settled"), (first & ~F.col("alike")).alias("open"))
+    if not keep_first:
+        marks = kept.filter("alike").select("key", "pos", "large", F.lit(True).alias("settled"), F.lit(False).alias("open")).union(marks)
     marks = marks.groupBy("key").agg(F.collect_set(F.when(F.col("settled"), F.col("pos"))).alias("settled"), *(F.collect_set(F.when(F.col("open") & large, F.col("pos"))).alias(c) for c, large in (("open", ~F.col("large")), ("hot", F.col("large")))))
     distinct = texts.groupBy("key").agg(F.first("text").alias("text"))  # copies meet before the shuffle
-    found = distinct.join(marks, "key")
-
-    candidates = stored(found.withColumn("cid", F.monotonically_increasing_id()), "candidates")  # numbers that the stored table keeps
-    marked = repeated_runs(open_runs(candidates, length)).groupBy("cid").agg(F.collect_list(F.struct("start", "again")).alias("again"))
-    strings = stored(open_strings(candidates, length), "strings")
-    twice = strings.groupBy("id1", "id2").agg(F.count("*").alias("n")).filter("n > 1").select("id1", "id2")
-    starts = strings.join(twice, ["id1", "id2"], "left_semi").groupBy("cid").agg(F.collect_list("start").alias("starts"))
+    rank = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")
+    # numbers that the stored table keeps
+    found = stored(distinct.join(marks, "key").withColumn("cid", F.monotonically_increasing_id()).withColumn("rank", rank), "candidates")
+    for level in range(len(lengths)):
+        marked, starts = refine(found, lengths, level, keep_first)
+        found = found.drop("again", "starts").join(marked, "cid", "left").join(starts, "cid", "left")
+        if level == 0:  # a text without a repeat at the first depth has none at the next
+            found = found.filter("size(settled) > 0 or again is not null or starts is not null").withColumn("again0", F.col("again")).withColumn("starts0", F.col("starts"))
+        if level < len(lengths) - 1:
+            found = stored(found, "refined")
 
     def cut(batches):
         for batch in pieces(batches, "text", 1 << 20):
             out = []
-            for key, text, settled, again, at in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "settled", "again", "starts")), strict=True):
+            for key, text, settled, *marks in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "settled", "again", "starts", "again0", "starts0")), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
-                gone = covered(len(data), settled, again or [], at or [], length)
-                if gone.any():
+                gone, shared = (covered(len(data), repeated_starts(len(data), settled, *m, lengths, level), lengths[level]) for m, level in ((marks[:2], len(lengths) - 1), (marks[2:], 0)))
+                if shared.any():
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     kept = data[~gone].tobytes()
-                    out.append((key, int(gone.sum()), spans, kept, kept.decode(errors="ignore")))
+                    out.append((key, int(gone.sum()), spans, int(shared.sum()), kept, kept.decode(errors="ignore")))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["key", "n_removed", "n_spans", "kept", "left"])
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "n_removed", "n_spans", "n_shared", "kept", "left"])
 
-    return candidates.join(marked, "cid", "left").join(starts, "cid", "left").select("key", "text", "settled", "again", "starts").mapInArrow(cut, RESULT)
+    return found.select("key", "text", "settled", "again", "starts", "again0", "starts0").mapInArrow(cut, RESULT)
 
 
 def text_key(text) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, hot: int = HOT, keep_first: bool = False) -> DataFrame:
     """All columns of docs, then n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; the text is what is left
     of it (a letter that is cut in two goes). A null text counts as empty and stays null; other columns don't matter, but
-    those of the names added are replaced. Repeated rows are each other's copies, so long ones lose all. Memory: a text and
-    its arrays at a time."""
+    those of the names added are replaced. Repeated rows are each other's copies, so long ones lose all; with keep_first, of
+    each repeated string one occurrence stays, and repeated rows stay alike. Memory: a text and its arrays at a time."""
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
     keyed = docs.select(*own, text_key(F.col(text)).alias("_key"))
-    found = stored(repeats(keyed.select(F.col("_key").alias("key"), F.coalesce(text, F.lit("")).alias("text")), length, hot), "repeats")
+    found = stored(repeats(keyed.select(F.col("_key").alias("key"), F.coalesce(text, F.lit("")).alias("text")), (length,), hot, keep_first), "repeats")
     found = found.select(F.col("key").alias("_key"), F.col("n_removed").alias("_removed"), F.col("n_spans").alias("_spans"), F.sha2("kept", 256).alias("_sha"), F.col("left").alias("_left"))
     raw = F.coalesce(text, F.lit("")).cast("binary")
     left = keyed.join(found, "_key", "left")
@@ -291,11 +367,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, hot:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts stay where they are: only keys, sizes and digests are joined to what was found."""
+    """Texts stay where they are: only keys, sizes and digests are joined to what was found. n_shared, after the contract's
+    columns, counts the bytes in repeated strings of 200 bytes, the depth before."""
     docs = documents(spark, sf_dir)
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
     found = repeats(docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")))
-    found = stored(found.select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "repeats")
-    zero = F.lit(0).cast("long")
-    return rows.join(found, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    found = stored(found.select("key", "n_removed", "n_spans", "n_shared", F.sha2("kept", 256).alias("kept_sha256")), "repeats")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.join(found, "key", "left").select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), count("n_shared"))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tests_helpers import brute_repeats, brute_simhash, words
+from tests_helpers import brute_first, brute_repeats, brute_simhash, words
 
 from seqsieve.llm import bpe, common, fingerprints, langid, mixing, ppm, simhash, substrings, tiff, token_counts, url_filter
 
@@ -342,6 +342,22 @@ def test_repeats(spark, length, hot):
     assert [rows[i].text for i in range(len(texts))] == [x[4].decode(errors="ignore") for x in want]
 
 
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_repeats_at_two_depths_and_first_ones_kept(spark, hot):
+    rnd = random.Random(9)
+    base = ["".join(rnd.choices("abc", k=rnd.randint(0, 200))) for _ in range(5)] + ["ab" * 60, "b" * 90]
+    texts = ["".join(rnd.choice(base)[rnd.randint(0, 40) : rnd.randint(41, 200)] for _ in range(rnd.randint(0, 5))) for _ in range(150)] + [base[0]] * 2 + ["".join(rnd.choices("xyz", k=400))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    keyed = df.select("doc_id", substrings.text_key(F.col("text")).alias("key"), "text")
+    found = {bytes(r.key): r for r in substrings.repeats(keyed.select("key", "text"), (20, 37), hot).collect()}
+    for t, short, long in zip(texts, brute_repeats([t.encode() for t in texts], 20), brute_repeats([t.encode() for t in texts], 37), strict=True):
+        r = found.get(hashlib.md5(t.encode()).digest())
+        assert (r.n_shared, r.n_removed, r.n_spans, bytes(r.kept)) == (short[1], long[1], long[2], long[4]) if r else short[1] == 0
+    rows = {r.doc_id: r.text for r in substrings.remove_repeats(df, length=20, hot=hot, keep_first=True).collect()}
+    want = brute_first([t.encode() for t in texts], 20)
+    assert [rows[i] for i in range(len(texts))] == [want[t.encode()].decode() for t in texts]
+
+
 def test_repeats_of_odd_tables(docs, none):
     rows = substrings.remove_repeats(docs).collect()
     assert len(rows) == len(TEXTS) + 2 and [r.text for r in rows if r.doc_id == 0] == [None]

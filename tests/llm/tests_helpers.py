@@ -26,6 +26,19 @@ def brute_repeats(texts, length):
     return out
 
 
+def brute_first(texts, length):
+    """What is left of each distinct text if strings go that start earlier too, in it or in a text of a lesser MD5."""
+    seen, left = set(), {}
+    for t in sorted(set(texts), key=lambda t: hashlib.md5(t).digest()):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if t[i : i + length] in seen:
+                gone[i : i + length] = True
+            seen.add(t[i : i + length])
+        left[t] = bytes(np.frombuffer(t, np.uint8)[~gone])
+    return left
+
+
 def brute_simhash(text, width=3):
     w = words(text)
     shingles = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
