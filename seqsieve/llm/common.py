@@ -79,12 +79,11 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _least_neighbour(edges: DataFrame, salts: int = 16) -> DataFrame:
-    """Edges (u, v) with m, the least v of each u. A node of many edges is met in `salts` parts, so that none is one task's."""
-    salted = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
-    part = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
-    told = part.select("u", "s").join(part.groupBy("u").agg(F.min("m").alias("m")), "u")
-    return salted.join(told, ["u", "s"]).drop("s")
+def _least_neighbour(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least v of each u. The minima (combined before the shuffle) are stored, so that the join is fed by
+    plain shuffles and a node of many edges can be split."""
+    low = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return edges.join(low, "u")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
