@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import unicodedata
 from itertools import chain
@@ -40,6 +39,9 @@ class Automaton:
     (`cut[u][v] = r`); `allows(a, b)` reads off whether b's arc leaves a's state, and remembers it as the transition table.
     """
 
+    #: Entries of the transition table that are kept at a time, about 200 MB.
+    MOST_PAIRS = 2_000_000
+
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         letters = byte_letters()
         self.labels: dict[int, str] = {i: t for t, i in vocabulary.items()}
@@ -114,6 +116,8 @@ class Automaton:
                     k = prev << 20 | t
                     ok = table.get(k)
                     if ok is None:
+                        if len(table) >= self.MOST_PAIRS:
+                            table.clear()
                         ok = table[k] = self.allows(prev, t)
                     if not ok:
                         continue
@@ -264,7 +268,10 @@ def decoded(tokens: DataFrame, path: str, ids: str = "ids", finish=None, ddl: st
 
 
 def default_vocabulary() -> str:
-    return os.environ.get("SEQSIEVE_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
+    """The place of the public vocabulary file that is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _digests(ids: list[int], text: str) -> tuple:

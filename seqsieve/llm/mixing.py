@@ -84,13 +84,41 @@ def _fold(items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
-def pivotal_copies(items: DataFrame, seed: int = 0, leaf: int = 48) -> DataFrame:
+def settled(done: DataFrame, items: DataFrame, most: int, seed: int, slots: int = 4) -> DataFrame:
+    """Rows (group, id, step): items that take one copy more or fewer, so that their group comes nearer to its words.
+
+    What a group misses after the tree, less than its largest item, is made up by ever smaller items: of each doubling of sizes
+    `slots` items that can give or take a copy are candidates, one aggregate each, so a group has few; from the largest down
+    those step that lessen what is still missing, either way."""
+    copies = F.col("item.whole") + F.col("item.p").cast("long")
+    # decimals, so that the sum doesn't depend on the order of rows
+    want = items.groupBy("group").agg(F.sum((F.col("n") * F.col("copies") * F.col("size")).cast("decimal(38,6)")).cast("double").alias("want"))
+    got = done.groupBy("group").agg(F.sum(copies * F.col("item.size")).alias("got"))
+    miss = want.join(got, "group").select("group", (F.col("want") - F.col("got")).alias("miss"))
+    rows = done.select("group", F.col("item.size").alias("size"), F.col("item.id").alias("id"), (copies < most * F.col("item.n")).alias("more"), (copies > 0).alias("fewer"))
+    slot = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("id")), F.lit(slots))
+    one = F.struct("size", "id")
+    picked = rows.groupBy("group", F.floor(F.log2("size")).alias("band"), slot.alias("slot")).agg(F.min(F.when(F.col("more"), one)).alias("more"), F.min(F.when(F.col("fewer"), one)).alias("fewer"))
+    each = picked.select("group", F.explode(F.array(F.struct("more.*", F.lit(1).alias("step")), F.struct("fewer.*", F.lit(-1).alias("step")))).alias("x")).filter("x.id is not null")
+    lists = each.groupBy("group").agg(F.sort_array(F.collect_list("x"), asc=False).alias("all")).join(miss, "group")
+    state = "struct<left:double,taken:array<struct<id:bigint,step:bigint>>>"
+    start = F.struct(F.col("miss").alias("left"), F.array().alias("taken")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        new = s["left"] - x["step"] * x["size"]
+        return F.when(F.abs(new) < F.abs(s["left"]), F.struct(new.alias("left"), F.concat(s["taken"], F.array(F.struct(x["id"].alias("id"), x["step"].cast("long").alias("step")))).alias("taken")).cast(state)).otherwise(s)
+
+    chosen = lists.select("group", F.explode(F.aggregate("all", start, step)["taken"]).alias("x"))
+    return chosen.groupBy("group", "x.id").agg(F.sum("x.step").alias("step"))
+
+
+def pivotal_copies(items: DataFrame, most: int = MOST_COPIES, seed: int = 0, leaf: int = 48) -> DataFrame:
     """Rounds rows (group, id, n, size, copies: double) to rows (group, id, copies: long).
 
     An item stands for n equal rows and has n * copies expected copies in all; ids are distinct in a group.  Items are dealt by hash to leaves of about `leaf` items;
     a leaf passes on the one item left fractional, and nodes combine `leaf` of these, up to one node a group, whose last
-    is rounded to the nearer side: so a group misses its words by half an item's size at most. Large items go first, as the
-    small ones that follow can still settle them. A group of any size is thus spread over many tasks.
+    is rounded to the nearer side; what the group then misses, half an item's size at most, is settled by smaller items, none of
+    which takes more than `most` copies a row. A group of any size is thus spread over many tasks.
     """
     spark = items.sparkSession
     mass = F.col("n") * F.col("copies")
@@ -116,7 +144,9 @@ def pivotal_copies(items: DataFrame, seed: int = 0, leaf: int = 48) -> DataFrame
     done = out[0]
     for more in out[1:]:
         done = done.unionByName(more)
-    return done.select("group", F.col("item.id").alias("id"), (F.col("item.whole") + F.col("item.p").cast("long")).alias("copies"))
+    steps = settled(done, items, most, seed)
+    copies = F.col("item.whole") + F.col("item.p").cast("long")
+    return done.select("group", F.col("item.id").alias("id"), copies.alias("copies")).join(steps, ["group", "id"], "left").select("group", "id", (F.col("copies") + F.coalesce("step", F.lit(0))).cast("long").alias("copies"))
 
 
 def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0, salts: int = 16) -> DataFrame:
@@ -137,7 +167,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     both = both.select("key", F.col("l.source").alias("source"), "size", "n", "source_size", "target", "group", F.xxhash64("key", "size", "group").alias("id"))
     both = stored(both, "mixing")
     items = both.filter("size > 0").groupBy("group", "id").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.max(F.col("target") / F.col("source_size")).alias("copies"))
-    made = pivotal_copies(items, seed)
+    made = pivotal_copies(items, most, seed)
     return both.join(made, ["group", "id"], "left").withColumn("copies", F.coalesce("copies", F.lit(0).cast("long"))).drop("group", "id")
 
 
@@ -150,7 +180,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """A row for each row of docs: the key, size (words), source_size, target (of its source) and taken (words, repeats counted).
 
     Sources in code point order, null last, weigh `weights`, repeating, and share all sizes; a target stops at `most` times
-    its source's size, the excess is reshared. Words taken of a source come within half a document of its target; a document
+    its source's size, the excess is reshared. Words taken of a source come within about its smallest document of its target; a document
     is taken at most `most` times. Equal rows (key, source, size) are rounded together. Empty and null texts have size 0 and
     taken 0; other columns don't matter; an empty table gives none. Options: those of plan().
     """
@@ -166,10 +196,17 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     made = made.withColumnsRenamed({"n": "_n", "copies": "_c"})
     rows = docs.withColumn("_size", word_count(F.col(text))).join(made, F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
     one = rows.filter("_n = 1").withColumn("_times", F.col("_c"))
-    same = Window.partitionBy(key, source, "_size").orderBy(F.lit(0))  # rows alike but for other columns: any order will do
-    share = F.floor(F.col("_c") / F.col("_n")).cast("long") + F.when(F.row_number().over(same) <= F.col("_c") % F.col("_n"), 1).otherwise(0)
-    more = rows.filter("_n > 1").withColumn("_times", share).filter("_times > 0")
-    return one.union(more).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*names)
+    # rows alike but for other columns: any order will do. They are numbered within their parts, and the parts' sizes summed up
+    more = stored(rows.filter("_n > 1").withColumn("_part", F.spark_partition_id()), "alike")
+    alike = [F.coalesce(F.col("_k").cast("string"), F.lit("")), F.col("_k").isNull(), F.coalesce(F.col("_s").cast("string"), F.lit("")), F.col("_s").isNull(), F.col("_size")]
+    more = more.withColumn("_same", F.struct(*alike))
+    upto = Window.partitionBy("_same").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = more.groupBy("_same", "_part").agg(F.count("*").alias("_rows")).select("_same", "_part", F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_same", "_part").orderBy(F.lit(0)))
+    more = more.withColumn("_within", within).join(parts, ["_same", "_part"])
+    share = F.floor(F.col("_c") / F.col("_n")).cast("long") + F.when(F.col("_before") + F.col("_within") <= F.col("_c") % F.col("_n"), 1).otherwise(0)
+    more = more.withColumn("_times", share).filter("_times > 0")
+    return one.select(*names, "_times").union(more.select(*names, "_times")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*names)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

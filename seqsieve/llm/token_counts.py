@@ -26,12 +26,12 @@ def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> Data
 
 
 def scan_blocks(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataFrame:
-    """For each block its tokens, its ends of documents, where the first and the last stand (null: none), and the lengths
+    """For each block its tokens, its ends of documents, where the first and the last stand (null: none), and the starts and lengths
     between ends (one less than the ends)."""
 
     def run(batches):
         for batch in pieces(batches, "payload", 8 << 20):
-            size, ends, first, last, inner = [], [], [], [], []
+            size, ends, first, last, inner, starts = [], [], [], [], [], []
             for raw in batch.column("payload").to_pylist():
                 ids = np.frombuffer(raw or b"", dtype)
                 at = np.flatnonzero(ids == end)
@@ -40,12 +40,14 @@ def scan_blocks(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataFr
                 first.append(int(at[0]) if len(at) else None)
                 last.append(int(at[-1]) if len(at) else None)
                 inner.append(np.diff(at) - 1)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in inner]))), pa.int32()), pa.array(np.concatenate(inner) if inner else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("block"), *(pa.array(x, pa.int64()) for x in (size, ends, first, last)), lists], names=names)
+                starts.append(at[:-1] + 1)
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in inner]))), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())) for x in (starts, inner)]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("block"), *(pa.array(x, pa.int64()) for x in (size, ends, first, last)), *lists], names=names)
 
-    names = ["shard", "block", "size", "ends", "first", "last", "inner"]
+    names = ["shard", "block", "size", "ends", "first", "last", "starts", "inner"]
     kind = blocks.schema["shard"].dataType.simpleString()
-    return blocks.select("shard", "block", "payload").mapInArrow(run, f"shard {kind}, block long, size long, ends long, first long, last long, inner array<long>")
+    return blocks.select("shard", "block", "payload").mapInArrow(run, f"shard {kind}, block long, size long, ends long, first long, last long, starts array<long>, inner array<long>")
 
 
 def token_counts(blocks: DataFrame, end: int = END, dtype: str = DTYPE, group: int = 1024) -> DataFrame:
@@ -70,12 +72,11 @@ def token_counts(blocks: DataFrame, end: int = END, dtype: str = DTYPE, group: i
     totals = totals.withColumn("g_at", F.sum("size").over(upto) - F.col("size")).withColumn("g_ended", F.sum("ends").over(upto) - F.col("ends"))
     totals = totals.withColumn("g_open", F.max(F.col("g_at") + F.col("last")).over(before)).withColumn("g_last", F.max("group").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     both = local.join(totals.select("shard", "group", "g_at", "g_ended", "g_open", "g_last"), ["shard", "group"])
-    both = both.select("shard", (F.col("g_at") + F.col("at")).alias("at"), (F.col("g_ended") + F.col("ended")).alias("ended"), F.coalesce(F.col("g_at") + F.col("open"), "g_open", F.lit(-1)).alias("open"), "size", "ends", "first", "last", "inner")
+    both = both.select("shard", (F.col("g_at") + F.col("at")).alias("at"), (F.col("g_ended") + F.col("ended")).alias("ended"), F.coalesce(F.col("g_at") + F.col("open"), "g_open", F.lit(-1)).alias("open"), "size", "ends", "first", "last", "starts", "inner")
     # the document that the first end closes may have begun in an earlier block
     head = both.filter("ends > 0").select("shard", F.col("ended").alias("ordinal"), (F.col("open") + 1).alias("start"), (F.col("at") + F.col("first") - F.col("open") - 1).alias("n_tokens"))
-    rest = both.filter("ends > 1").select("shard", "ended", "at", "first", F.posexplode("inner").alias("j", "n_tokens"), "inner")
-    skipped = F.aggregate(F.slice("inner", F.lit(1), F.col("j")), F.lit(0).cast("long"), lambda a, x: a + x + 1)
-    rest = rest.select("shard", (F.col("ended") + F.col("j") + 1).alias("ordinal"), (F.col("at") + F.col("first") + 1 + skipped).alias("start"), "n_tokens")
+    rest = both.filter("ends > 1").select("shard", "ended", "at", F.posexplode(F.arrays_zip("starts", "inner")).alias("j", "own"))
+    rest = rest.select("shard", (F.col("ended") + F.col("j") + 1).alias("ordinal"), (F.col("at") + F.col("own.starts")).alias("start"), F.col("own.inner").alias("n_tokens"))
     # tokens after a shard's last end
     tail = both.groupBy("shard").agg(F.sum("ends").alias("ordinal"), F.max(F.coalesce(F.col("at") + F.col("last"), F.lit(-1))).alias("open"), F.max(F.col("at") + F.col("size")).alias("all"))
     tail = tail.select("shard", "ordinal", (F.col("open") + 1).alias("start"), (F.col("all") - F.col("open") - 1).alias("n_tokens")).filter("n_tokens > 0")

@@ -29,10 +29,11 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, url.substr(at + 3, F.length(url)))
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of texts: each suffix of the host's labels with each prefix of the path that has one of the lengths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def expressions(host: Column, path: Column, depths: list[int], lengths: list[int]) -> Column:
+    """Array of texts: each suffix of the host that has one of the numbers of labels, with each prefix of the path that has one
+    of the lengths. Other suffixes can't be a rule's, so a host of very many labels costs no more than its length."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.array_compact(F.array(*(F.when(labels >= n, F.substring_index(host, ".", -n)) for n in depths)))
     fitting = F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length(path))
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, path.substr(F.lit(1), n))))))
 
@@ -46,17 +47,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     Repeated rows stay repeated; null keys stay. No rules or no pages are fine.
 
     Expressions are joined on the first `prefix_digits` hex digits of their SHA-256; the full digest then confirms.
-    What the driver learns of the rules is the set of lengths of their paths, at most the longest path's length.
+    What the driver learns of the rules is the sets of lengths of their paths and of numbers of labels of their hosts.
     """
     clean = rules.select("action", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).filter("host != ''")
     clean = clean.groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.min("action").alias("action"))
     lengths = sorted(r[0] for r in clean.select(F.length("path")).distinct().collect()) or [0]
+    depths = sorted(r[0] for r in clean.select(F.size(F.split("host", r"\."))).distinct().collect()) or [1]
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     held = clean.select(F.concat("host", "path").alias("_rule"), "action").withColumn("_full", digest(F.col("_rule")))
     held = held.select(F.substring("_full", 1, prefix_digits).alias("_short"), F.col("_full").alias("_rule_full"), "_rule", "action")
     own = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url")).groupBy("_key", "_url").agg(F.count("*").alias("_copies"))
     own = own.withColumn("_host", url_host(F.col("_url"))).withColumn("_path", url_path(F.col("_url")))
-    each = own.withColumn("_full", F.explode_outer(F.transform(expressions(F.col("_host"), F.col("_path"), lengths), digest)))
+    each = own.withColumn("_full", F.explode_outer(F.transform(expressions(F.col("_host"), F.col("_path"), depths, lengths), digest)))
     each = each.withColumn("_short", F.substring("_full", 1, prefix_digits)).join(held, "_short", "left")
     won = F.max(F.when(F.col("_full") == F.col("_rule_full"), F.struct(F.length("_rule"), F.col("_rule"), F.col("action"))))
     best = each.groupBy("_key", "_url", "_copies", "_host", "_path").agg(won.alias("_won"))

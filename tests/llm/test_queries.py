@@ -57,6 +57,29 @@ def test_op2(spark, texts):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_op3(spark, texts):
+    rows = QUERIES["op3_mixing"](spark, DATA).collect()
+    assert {r.doc_id: r.size for r in rows} == {i: len((t or "").encode().split()) for i, t in texts.items()} and all(r.taken <= 3 * r.size for r in rows)
+    sources = {}
+    for r in rows:
+        sources.setdefault((r.target, r.source_size), []).append(r)
+    for (target, _), own in sources.items():
+        assert abs(sum(r.taken for r in own) - target) <= 0.1 * target, "a source has ten documents here"
+
+
+def test_op4_op5(spark, texts):
+    for r in QUERIES["op4_tiff"](spark, DATA).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    for r in QUERIES["op5_fingerprints"](spark, DATA).collect():
+        text, k = texts[r.doc_id] or "", len(texts[r.doc_id] or "") // 3
+        edited = text[: len(text) - k] + (texts[after[r.doc_id]] or "")[:k]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest()) and 0 <= r.near_edited <= 1
+
+
 def test_op6_op8(spark, texts):
     from tests_helpers import brute_repeats, brute_simhash
 
