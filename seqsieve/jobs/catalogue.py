@@ -387,6 +387,63 @@ def pairwise_f84(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clades.distances(p.aligned(spark, sf_dir)).select("a", "b", F.when(~F.isnan(d), d).alias("d"))
 
 
+_KINDS = {"ag": "('AG', 'GA')", "ct": "('CT', 'TC')", "tv1": "('AT', 'TA', 'CG', 'GC')", "tv2": "('AC', 'CA', 'GT', 'TG')"}
+_MODELS = (
+    _F84[: _F84.index(", w AS")]
+    + ", z AS (SELECT k, list_transform(range(1, 65), lambda i: substr(seq, CAST(i AS INT), 1)) AS l FROM q)"
+    + f", n AS (SELECT x.k AS a, v.k AS b, {', '.join(f'len(list_filter(range(1, 65), lambda i: (x.l[i] || v.l[i]) IN {v})) AS {k}' for k, v in _KINDS.items())} FROM z x JOIN z v ON x.k < v.k)"
+    + ", e AS (SELECT n.a AS x, n.b AS v, (ag + ct)::DOUBLE AS nts, (tv1 + tv2)::DOUBLE AS ntv, ag / 64.0::DOUBLE AS p1, ct / 64.0::DOUBLE AS p2, (ag + ct) / 64.0::DOUBLE AS ts, tv1 / 64.0::DOUBLE AS q1, tv2 / 64.0::DOUBLE AS q2, (tv1 + tv2) / 64.0::DOUBLE AS tv, 1 - f.a*f.a - f.c*f.c - f.g*f.g - f.t*f.t AS m, f.a + f.g AS r, f.c + f.t AS y, 2 * (f.g + f.c) * (1 - f.g - f.c) AS w, 2 * f.a * f.g / (f.a + f.g) AS kr, 2 * f.c * f.t / (f.c + f.t) AS ky, f.a * f.g AS rr, f.c * f.t AS yy FROM n CROSS JOIN f)"
+    + ", o AS (SELECT *, 1 - (ts + tv) / m AS f1, 1 - 2 * ts - 2 * q1 AS k1, 1 - 2 * ts - 2 * q2 AS k2, 1 - 2 * tv AS k3, 1 - ts / w - tv AS t1, 1 - p1 / kr - tv / (2 * r) AS n1, 1 - p2 / ky - tv / (2 * y) AS n2, 1 - tv / (2 * r * y) AS n3, 2 * (r * y - rr * y / r - yy * r / y) AS kv FROM e)"
+    + 'SELECT x AS a, v AS b, nts + ntv AS "N", nts AS "TS", ntv AS "TV", CASE WHEN f1 > 0 THEN round(-m * ln(f1) + 0.0, 6) END AS "F81", CASE WHEN k1 > 0 AND k2 > 0 AND k3 > 0 THEN round(-0.25 * (ln(k1) + ln(k2) + ln(k3)) + 0.0, 6) END AS "K81", CASE WHEN t1 > 0 AND k3 > 0 THEN round(-w * ln(t1) - 0.5 * (1 - w) * ln(k3) + 0.0, 6) END AS "T92", CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 THEN round(-kr * ln(n1) - ky * ln(n2) - kv * ln(n3) + 0.0, 6) END AS "TN93" FROM o'
+)
+
+
+@registered(_MODELS)
+def pairwise_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of differing sites and four more distance models, all pairs (X-12)."""
+    models = ("N", "TS", "TV", "F81", "K81", "T92", "TN93")
+    rows = clades.distances(p.aligned(spark, sf_dir), models)
+    return rows.select("a", "b", *(F.when(~F.isnan(m), F.round(m, 6) + F.lit(0.0)).alias(m) for m in models))
+
+
+@registered("WITH s AS (SELECT p_brand, count(*) AS n FROM part GROUP BY ALL) SELECT count(*) AS groups, min(n) AS smallest, max(n) AS largest FROM s")
+def clade_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many clades there are, and their least and greatest size (A-17)."""
+    return clades.cluster_sizes(p.memberships(spark, sf_dir)["clade"])
+
+
+@registered(_with("seqs") + "SELECT 'r' || asv_id || ' x' AS header, lower(seq) AS seq FROM seqs")
+def fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTQ and read again in splits (S-5)."""
+    from ..sources.files import read_fastq
+
+    s = p.sequences(spark, sf_dir)
+    path = p.folder(spark, "reads")
+    record = F.concat(F.lit("@r"), F.col("asv_id").cast("string"), F.lit(" x\n"), F.lower("seq"), F.lit("\n+\n@"), F.repeat(F.lit("I"), F.length("seq") - 1))
+    s.select(record.alias("value")).write.text(path)
+    return read_fastq(spark, path).select("header", "seq")
+
+
+@registered("SELECT c_mktsegment AS library, c_nationkey::VARCHAR AS asv_id, count(*) AS n FROM customer GROUP BY ALL")
+def count_table_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense table written as text, read and unpivoted (S-7)."""
+    from ..sources.files import read_counts
+
+    path = p.folder(spark, "table")
+    wide = counts_matrix_pivot(spark, sf_dir)
+    head = spark.createDataFrame([("library\t" + "\t".join(map(str, NATIONS)),)], "value string")
+    lines = wide.select(F.concat_ws("\t", "library", *(F.col(f"`{i}`").cast("string") for i in NATIONS)).alias("value"))
+    head.withColumn("o", F.lit(0)).union(lines.withColumn("o", F.lit(1))).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    names = p.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("asv_id"))
+    return read_counts(spark, path, names.withColumn("asv_key", F.col("asv_id")))
+
+
+@registered()
+def sweep_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """27,000 threshold sets in one sweep (J-6, A-5, A-6); too many for SQL to compare each with each sequence."""
+    return sweep.sweep(*_scored(spark, sf_dir, p.WIDE)).select("resultindex", "term", "accuracy_score", "asvsprelim_retained_n", "rejects_hash")
+
+
 @registered()
 def tree_cut_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average-linkage clusters at distance 0.2 (H-3 to H-5, R3)."""

@@ -96,6 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     results, scored, grid = jobs.find(inputs, tagged, text, a.anyfail)
     results = results.cache()
     results.orderBy("resultindex").write.mode(mode).csv(f"{a.output}/results", header=True)
+    select.hash_store(results).orderBy("resultindex").write.mode(mode).parquet(f"{a.output}/hashes")
     tagged.write.mode(mode).csv(f"{a.output}/controls", sep="\t")
     metric = f"{a.metric}_score"
     top = select.top_proportion(results, metric, a.top) if a.top else select.best_sets(results, metric)

@@ -42,10 +42,10 @@ def load(spark: SparkSession, asv_path: str, readmap: str | None = None, librari
         groups["taxon"] = files.read_taxa(spark, taxa, asvs)
     if tree:
         text = spark.read.text(tree, wholetext=True).first().value
-        # tips may have "-" for ";": known names are translated, not every "-"
-        names = {r.asv_id.replace(";", "-"): r.asv_id for r in asvs.select("asv_id").collect()}
-        cut = [(str(c), names.get(t, t)) for t, c in clades.cut_tree(clades.parse_newick(text), divergence).items()]
-        groups["clade"] = spark.createDataFrame(cut, "group_id string, asv_id string")
+        # tips may have "-" for ";": known names are translated, not every "-"; the tree itself is one text on the driver
+        tips = [(t, str(c)) for t, c in clades.cut_tree(clades.parse_newick(text), divergence).items()]
+        known = asvs.select("asv_id", F.replace("asv_id", F.lit(";"), F.lit("-")).alias("tip"))
+        groups["clade"] = spark.createDataFrame(tips, "tip string, group_id string").join(known, "tip", "left").select("group_id", F.coalesce("asv_id", "tip").alias("asv_id"))
     elif want_clades:
         if not files.is_aligned(asvs.select("asv_ord", F.col("aligned_seq").alias("seq"))):
             raise files.FormatError("clades need aligned sequences or a tree")

@@ -32,7 +32,12 @@ def encode_store(rejected: DataFrame, asvs: DataFrame) -> DataFrame:
     total = asvs.agg(F.count("*").alias("_all"))
     lists = rejected.groupBy("resultindex").agg(F.collect_set("asv_id").alias("_out")).crossJoin(F.broadcast(total))
     few = F.size("_out") < F.col("_all") * 0.5
-    kept = lists.filter(~few).select("resultindex").crossJoin(asvs.select("asv_id")).join(rejected, ["resultindex", "asv_id"], "left_anti")
+    # the retained of a set: the sequences less those whose list of rejecting sets has it
+    many = lists.filter(~few).select("resultindex")
+    by_asv = rejected.join(many, "resultindex", "left_semi").groupBy("asv_id").agg(F.collect_set("resultindex").alias("_sets"))
+    sets = many.agg(F.collect_set("resultindex").alias("_many"))
+    rest = asvs.select("asv_id").join(by_asv, "asv_id", "left").crossJoin(F.broadcast(sets))  # one row
+    kept = rest.select("asv_id", F.explode(F.array_except("_many", F.coalesce("_sets", F.array().cast(sets.schema["_many"].dataType)))).alias("resultindex"))
     kept = kept.groupBy("resultindex").agg(F.collect_set("asv_id").alias("_in"))
     both = lists.join(kept, "resultindex", "left")
     ids = F.when(few, F.col("_out")).otherwise(F.coalesce("_in", F.array().cast(lists.schema["_out"].dataType)))
@@ -46,14 +51,21 @@ def retained(asvs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def retained_from_store(asvs: DataFrame, store: DataFrame) -> DataFrame:
     """(resultindex, asv columns) of each stored set (S-12, U-4)."""
-    rows = store.select("resultindex", "action", F.explode_outer("asv_ids").alias("asv_id"))
+    rows = store.select("resultindex", "action", F.explode("asv_ids").alias("asv_id"))
     keep = rows.filter("action = 'retain'").select("resultindex", "asv_id").join(asvs, "asv_id")
-    sets = store.filter("action = 'reject'").select("resultindex")
-    rest = asvs.crossJoin(F.broadcast(sets)).join(rows.filter("action = 'reject' and asv_id is not null").select("resultindex", "asv_id"), ["resultindex", "asv_id"], "left_anti")
+    out = rows.filter("action = 'reject'").groupBy("asv_id").agg(F.collect_set("resultindex").alias("_sets"))
+    sets = store.filter("action = 'reject'").agg(F.collect_set("resultindex").alias("_all"))
+    rest = asvs.join(out, "asv_id", "left").crossJoin(F.broadcast(sets))  # one row
+    rest = rest.withColumn("resultindex", F.explode(F.array_except("_all", F.coalesce("_sets", F.array().cast(sets.schema["_all"].dataType)))))
     cols = ["resultindex", *asvs.columns]
     return keep.select(*cols).union(rest.select(*cols))
 
 
+def hash_store(results: DataFrame) -> DataFrame:
+    """(resultindex, rejects_hash): which sets reject the same, by index, so that a later dump needs no sweep (K-2)."""
+    return results.select("resultindex", "rejects_hash")
+
+
 def within_rates(results: DataFrame, fp: float, fn: float) -> DataFrame:
     """Sets that keep at most the share fp of the non-authentic and lose at most fn of the authentic (F-11)."""
     return results.filter((F.col("verifiednonauthentic_retained_p") <= fp) & (F.col("verifiedauthentic_rejected_p") <= fn))

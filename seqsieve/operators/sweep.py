@@ -115,7 +115,8 @@ def sweep(scored: DataFrame, grid: Grid) -> DataFrame:
 
 
 def rejects(scored: DataFrame, sets: DataFrame, names: list[str]) -> DataFrame:
-    """(resultindex, asv_id) of the actual rejects of a few chosen sets (F-6, U-3): rows of threshold_sets()."""
+    """(resultindex, asv_id) of the actual rejects of a few chosen sets (F-6, U-3): rows of threshold_sets().
+    The output is as large as sets by rejects; Spark broadcasts the sets if they are under its threshold."""
     below = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"`{n}`") < F.col(f"`{threshold_column(n)}`"), F.lit(False)) for n in names))
     chosen = sets.select("resultindex", *(f"`{threshold_column(n)}`" for n in names))
-    return scored.join(F.broadcast(chosen), (below | F.col("is_nontarget")) & ~F.col("is_target")).select("resultindex", "asv_id")
+    return scored.join(chosen, (below | F.col("is_nontarget")) & ~F.col("is_target")).select("resultindex", "asv_id")

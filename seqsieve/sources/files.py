@@ -60,13 +60,25 @@ def sniff(spark: SparkSession, path: str) -> str:
     return kind
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, nth, value): the lines of text files, numbered from 0 in each. A file is read in splits by many tasks; the lines
+    are counted by split and the counts of the splits before are added, a row for each split."""
+    from pyspark.sql import Window
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    upto = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    starts = starts.select("path", "_block", "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    return lines.join(starts, ["path", "_block"]).select("path", (F.col("_start") + F.col("_row") - F.col("_first")).alias("nth"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(header, seq, path). Files are read whole, one row each, as their four-line records have no mark to split at."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = F.split(F.regexp_replace(F.rtrim("value"), "\r", ""), "\n")
-    starts = F.sequence(F.lit(0), F.floor(F.size("lines") / 4).cast("int") - 1)
-    each = files.select("path", lines.alias("lines")).select("path", "lines", F.explode(starts).alias("i"))
-    return each.select(F.substring(F.get("lines", F.col("i") * 4), F.lit(2), F.lit(1 << 20)).alias("header"), F.get("lines", F.col("i") * 4 + 1).alias("seq"), "path")
+    """(header, seq, path). Records are four lines; of these the first two are grouped by the record's number, so that a file of
+    any size is read by many tasks."""
+    lines = numbered_lines(spark, path).filter("nth % 4 < 2").withColumn("_record", F.floor(F.col("nth") / 4))
+    part = lambda i: F.max(F.when(F.col("nth") % 4 == i, F.col("value")))
+    rows = lines.groupBy("path", "_record").agg(part(0).alias("header"), part(1).alias("seq")).filter("header != '' and seq is not null")
+    return rows.select(F.expr("substring(header, 2)").alias("header"), F.rtrim("seq").alias("seq"), "path")
 
 
 def read_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -108,9 +120,10 @@ def read_counts(spark: SparkSession, path: str, asvs: DataFrame) -> DataFrame:
     names = names[1:] if width[0] == len(names) else names
     if len(set(names)) < len(names):
         raise FormatError("a name occurs twice in the header")
-    cell = F.struct(F.col("pos").alias("pos"), F.col("col").alias("col"))
     rows = lines.filter(F.col("value") != first).select(F.get("_f", F.lit(0)).alias("row"), F.posexplode(F.slice("_f", 2, len(names))))
-    rows = rows.select("row", F.get(F.array(*map(F.lit, names)), cell["pos"]).alias("column"), F.expr("cast(trim(replace(col, '\r', '')) as bigint)").alias("n")).filter("n > 0")
+    rows = rows.select("row", "pos", F.expr("cast(trim(replace(col, '\r', '')) as bigint)").alias("n")).filter("n > 0")
+    # a table of the header's names, as a header of many is too long for an expression
+    rows = rows.join(spark.createDataFrame(list(enumerate(names)), "pos int, column string"), "pos").select("row", "column", "n")
     known = asvs.select(F.col("asv_id").alias("name"), "asv_id").union(asvs.select(F.col("asv_key").alias("name"), "asv_id")).distinct()
     across = known.join(spark.createDataFrame([(n,) for n in names], "name string"), "name", "left_semi").limit(1).isEmpty()
     name, library = ("row", "column") if across else ("column", "row")
@@ -155,3 +168,8 @@ def write_fasta(asvs: DataFrame, path: str) -> None:
 def write_result_sets(rows: DataFrame, path: str) -> None:
     """A folder of FASTA for each resultindex (K-4)."""
     rows.select("resultindex", "asv_ord", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value")).sortWithinPartitions("resultindex", "asv_ord").select("resultindex", "value").write.partitionBy("resultindex").text(path)
+
+
+def libraries_without_hits(reads: DataFrame, matched: DataFrame) -> DataFrame:
+    """(library) of read libraries none of whose reads equals a sequence (A-14): a warning's rows."""
+    return reads.select("library").distinct().join(matched.select("library").distinct(), "library", "left_anti")
