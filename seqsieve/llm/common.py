@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,39 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+#: Paths of the tables stored within the innermost settled(), None outside of any.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: a lost executor then costs no recomputation."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, stored. The tables that make() stored on its way are deleted then: nothing reads them any longer, so
+    the shared folder holds one step's tables at a time. make() must not hand out other DataFrames over these."""
+    made: list[str] = []
+    before = _MADE.set(made)
+    try:
+        out = make()
+        path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+    finally:
+        _MADE.reset(before)
+    if (outer := _MADE.get()) is not None:
+        outer.append(path)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for old in made:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        at.getFileSystem(hadoop).delete(at, True)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -95,12 +122,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = edges.sparkSession
     e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     nodes = e
-    while True:
+
+    def turn(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u != v")
         large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         star = _least_neighbour(large)
-        new = star.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(star.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        new = stored(new, "edges")
+        return star.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(star.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+
+    while True:
+        new = settled(spark, "edges", lambda: turn(e))  # noqa: B023
         # a forest of stars: no node is both a leaf and a centre, and no leaf has two centres
         leaf = new.groupBy("u").agg(F.count("*").alias("n"))
         deep = leaf.filter("n > 1").limit(1).union(leaf.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, flat, pieces, stored
+from .common import documents, flat, pieces, settled, stored
 
 #: Occurrences of a sample beyond which its strings are compared by the aggregate.
 HOT = 10_000
@@ -357,7 +357,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, hot:
     each repeated string one occurrence stays, and repeated rows stay alike. Memory: a text and its arrays at a time."""
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
     keyed = docs.select(*own, text_key(F.col(text)).alias("_key"))
-    found = stored(repeats(keyed.select(F.col("_key").alias("key"), F.coalesce(text, F.lit("")).alias("text")), (length,), hot, keep_first), "repeats")
+    texts = keyed.select(F.col("_key").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    found = settled(docs.sparkSession, "repeats", lambda: repeats(texts, (length,), hot, keep_first).select("key", "n_removed", "n_spans", "kept", "left"))
     found = found.select(F.col("key").alias("_key"), F.col("n_removed").alias("_removed"), F.col("n_spans").alias("_spans"), F.sha2("kept", 256).alias("_sha"), F.col("left").alias("_left"))
     raw = F.coalesce(text, F.lit("")).cast("binary")
     left = keyed.join(found, "_key", "left")
@@ -372,7 +373,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
-    found = repeats(docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")))
-    found = stored(found.select("key", "n_removed", "n_spans", "n_shared", F.sha2("kept", 256).alias("kept_sha256")), "repeats")
+    texts = docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    found = settled(spark, "repeats", lambda: repeats(texts).select("key", "n_removed", "n_spans", "n_shared", F.sha2("kept", 256).alias("kept_sha256")))
     count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return rows.join(found, "key", "left").select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), count("n_shared"))
