@@ -63,7 +63,20 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
     return spark.read.schema(out.schema).parquet(path)
 
 
+#: Rows of a batch between the JVM and Python: of texts of some KB a few MB. Both sides hold a batch as a whole, and the JVM
+#: doubles its buffers as they fill.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to BATCH_ROWS, where they are more (10,000 by default), as rows here hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

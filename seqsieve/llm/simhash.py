@@ -15,27 +15,27 @@ BITS = 64
 SEGMENTS = 16
 
 
-def shingle_hashes(raw: bytes, width: int) -> list[int]:
+def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
     """XXH64 (seed 42) of each run of `width` words, joined by single spaces; of fewer words, of the whole sequence; of none, nothing."""
     words = raw.lower().split()
     if not words:
-        return []
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= width:
-        return [xxhash.xxh64_intdigest(line, 42)]
+        return np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[:-width] + 1).tolist()]
+    starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    return [digest(line[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+    return np.fromiter((digest(line[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
 
 
-def simhash(hashes: list[list[int]]) -> np.ndarray:
+def simhash(hashes: list[np.ndarray]) -> np.ndarray:
     """A 64-bit fingerprint for each list: the bits set in over half of its hashes."""
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
     out = np.zeros(len(hashes), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
-        every = np.fromiter((h for x in hashes for h in x), np.uint64, int(sizes.sum()))
+        every = np.concatenate(hashes)
         starts = (np.cumsum(sizes) - sizes)[some]
         bits = np.unpackbits(every.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
