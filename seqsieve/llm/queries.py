@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, fingerprints, langid, mixing, ppm, simhash, substrings, tiff, token_counts, url_filter
+from . import bpe, fingerprints, langid, mixing, ppm, ranked, sentence_pieces, simhash, substrings, tiff, token_counts, url_filter, whitening
 
 QUERIES = {
     "op1_ppm": ppm.op1_ppm,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_sentence_pieces": sentence_pieces.op12_sentence_pieces,
+    "op13_ranked_search": ranked.op13_ranked_search,
 }
-SQL = {"op9_url_filter": url_filter.SQL, "op10_token_counts": token_counts.SQL}
+SQL = {"op9_url_filter": url_filter.SQL, "op10_token_counts": token_counts.SQL, "op13_ranked_search": ranked.SQL}
