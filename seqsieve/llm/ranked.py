@@ -22,7 +22,9 @@ TOP = 20
 #: Terms (with repeats) of the items that are searched for at a time: what is broadcast is a few MB, whatever the tables hold.
 BLOCK_TERMS = 200_000
 #: Entries (documents by their distinct terms) of one tree.
-TREE_ENTRIES = 1 << 19
+TREE_ENTRIES = 1 << 20
+#: Subtrees of so few documents aren't branched any further: their documents are scored by falling bound.
+LEAF = 1024
 _ASCII = str.maketrans(UPPER, LOWER)
 
 
@@ -107,61 +109,51 @@ class Tree:
         self.start, self.depth, self.term = doc[first], depth[first], self.terms[first]
         self.end = self.start + np.bincount(node, minlength=len(starts))
         links = np.argsort(self.term, kind="stable")
-        self.links, self.link_terms = links, self.term[links]
+        self.links, self.link_terms, self.links_most = links, self.term[links], self.term.max()
 
     def search(self, terms: np.ndarray, weights: np.ndarray, best: Best) -> None:
         """Puts the documents that are among the best for an item's terms (sorted, with their weights by repeats) into best."""
         low, high = np.searchsorted(self.link_terms, terms), np.searchsorted(self.link_terms, terms, "right")
+        terms, weights, low, high = (x[low < high] for x in (terms, weights, low, high))
         nodes = self.links[np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])] if len(terms) else np.zeros(0, np.int64)
         if not len(nodes):
             return
         nodes = nodes[np.lexsort((self.depth[nodes], -self.end[nodes], self.start[nodes]))]  # depth-first order of the item's own tree
         start, end = self.start[nodes], self.end[nodes]
         adds = worth(weights[np.searchsorted(terms, self.term[nodes])], self.tf_most[nodes], self.m_least[nodes])
-        # bound of a node's own documents: what the nodes above and itself add, as each range's gains and losses run on
+        # bound of each document: what all nodes that hold it add, as the ranges' gains and losses run on
         step = np.zeros(len(self.docs) + 1, np.int64)
         np.add.at(step, start, adds)
         np.add.at(step, end, -adds)
-        reach = np.searchsorted(start, end)  # a subtree's nodes are those from itself to before this one
-        level = np.cumsum(step)  # by document, with all nodes that hold it
-        # of a subtree the bound is the greatest of its documents
-        stack = [(0, len(nodes))]
+        level = np.cumsum(step)[:-1]
+        after = np.searchsorted(start, end)  # a subtree's nodes are those from itself to before this one
+        own = np.zeros(int(self.links_most) + 1, np.int64)
+        own[terms] = weights
+        stack = [(0, len(nodes), 0, len(level))]
         while stack:
-            at, stop = stack.pop()
-            # the topmost nodes among at..stop: those that no earlier one's range takes in
-            tops = []
-            while at < stop:
-                tops.append(at)
-                at = int(reach[at])
-            tops = np.array(tops)
-            bounds = np.maximum.reduceat(level, np.column_stack((start[tops], end[tops])).ravel().clip(max=len(level) - 1))[::2]
-            for i in np.argsort(-bounds, kind="stable").tolist():
-                if bounds[i] < best.least or bounds[i] <= 0:
-                    break  # of these and of all after them none is good enough
-                t = int(tops[i])
-                inner_start, inner_stop = t + 1, int(reach[t])
-                if inner_start < inner_stop and bounds[i] > 0:
-                    stack.append((inner_start, inner_stop))
-                self._own(int(start[t]), int(end[t]), start[inner_start:inner_stop], end[inner_start:inner_stop], level, terms, weights, best)
-
-    def _own(self, a: int, b: int, starts: np.ndarray, ends: np.ndarray, level: np.ndarray, terms: np.ndarray, weights: np.ndarray, best: Best) -> None:
-        """Scores the documents of a node that are in no node below, where their bound is good enough."""
-        own = np.ones(b - a, bool)
-        if len(starts):
-            cover = np.zeros(b - a + 1, np.int64)
-            np.add.at(cover, starts - a, 1)
-            np.add.at(cover, ends - a, -1)
-            own = np.cumsum(cover)[:-1] == 0
-        at = a + np.flatnonzero(own & (level[a:b] >= max(best.least, 1)))
-        if not len(at):
-            return
-        sizes = self.ptr[at + 1] - self.ptr[at]
-        to = np.cumsum(sizes)
-        entry = np.repeat(self.ptr[at] - to + sizes, sizes) + np.arange(to[-1])
-        place = np.searchsorted(terms, self.terms[entry]).clip(max=len(terms) - 1)
-        w = np.where(terms[place] == self.terms[entry], weights[place], 0)
-        scores = np.add.reduceat(worth(w, self.tfs[entry], np.repeat(self.m[at], sizes)), to - sizes)
-        best.add(scores, [self.docs[i] for i in at])
+            at, stop, a, b = stack.pop()
+            bounds = level[a:b]
+            if bounds.max() < max(best.least, 1):
+                continue  # none below this node is good enough
+            rest, deeper = np.ones(b - a, bool), []
+            for i in (at + np.flatnonzero(end[at:stop] - start[at:stop] > LEAF)).tolist():
+                if not deeper or i >= deeper[-1][2]:  # the topmost of the large ones
+                    deeper.append((int(level[start[i] : end[i]].max()), i + 1, int(after[i]), int(start[i]), int(end[i])))
+                    rest[start[i] - a : end[i] - a] = False
+            self._score(a + np.flatnonzero(rest), level, own, best)
+            stack += [d[1:] for d in sorted(deeper)]
+
+    def _score(self, at: np.ndarray, level: np.ndarray, own: np.ndarray, best: Best) -> None:
+        """Scores documents by falling bound, in runs, as long as it is good enough."""
+        at = at[level[at] >= max(best.least, 1)]
+        at, done, run = at[np.argsort(-level[at], kind="stable")], 0, 64
+        while done < len(at) and level[at[done]] >= best.least:
+            now = at[done : done + run]
+            sizes = self.ptr[now + 1] - self.ptr[now]
+            to = np.cumsum(sizes)
+            entry = np.repeat(self.ptr[now] - to + sizes, sizes) + np.arange(to[-1])
+            best.add(np.add.reduceat(worth(own[self.terms[entry]], self.tfs[entry], np.repeat(self.m[now], sizes)), to - sizes), now, self.docs)
+            done, run = done + run, min(2 * run, 4096)
 
 
 class Best:
@@ -171,8 +163,9 @@ class Best:
         self.rows: list[tuple] = []
         self.least = 1
 
-    def add(self, scores: np.ndarray, docs: list) -> None:
-        new = [(-int(s), d is None, d) for s, d in zip(scores, docs, strict=True) if s >= self.least]
+    def add(self, scores: np.ndarray, at: np.ndarray, docs: list) -> None:
+        good = scores >= self.least
+        new = [(-s, docs[i] is None, docs[i]) for s, i in zip(scores[good].tolist(), at[good].tolist(), strict=True)]
         if new:
             self.rows = sorted(self.rows + new, key=lambda r: (r[0], r[1], 0 if r[2] is None else r[2]))[:TOP]
             if len(self.rows) == TOP:

@@ -70,14 +70,13 @@ def leading_values(d: np.ndarray, e: np.ndarray, k: int) -> np.ndarray:
 
 
 def solve_shifted(d: np.ndarray, e: np.ndarray, x: float, b: np.ndarray) -> np.ndarray:
-    """(T - x) y = b by elimination with row exchanges; pivots of zero are replaced by rounding's size."""
+    """(T - x) y = b by elimination with row exchanges; pivots under rounding's size are raised to it."""
     n, eps = len(d), np.finfo(float).eps * max(float(np.max(np.abs(d))), float(np.max(np.abs(e), initial=0.0)), np.finfo(float).tiny)
     diag, up, upper2, rhs = (d - x).tolist(), [*e.tolist(), 0.0], [0.0] * n, b.tolist()
     for i in range(n - 1):
         low = float(e[i])
         if abs(diag[i]) >= abs(low):
-            pivot = diag[i] or eps
-            diag[i] = pivot
+            pivot = diag[i] = diag[i] if abs(diag[i]) > eps else eps
             f = low / pivot
             diag[i + 1] -= f * up[i]
             rhs[i + 1] -= f * rhs[i]
@@ -86,7 +85,7 @@ def solve_shifted(d: np.ndarray, e: np.ndarray, x: float, b: np.ndarray) -> np.n
             diag[i], up[i], diag[i + 1], upper2[i] = low, diag[i + 1], up[i] - f * diag[i + 1], up[i + 1]
             up[i + 1] = -f * upper2[i]
             rhs[i], rhs[i + 1] = rhs[i + 1], rhs[i] - f * rhs[i + 1]
-    diag[-1] = diag[-1] or eps
+    diag[-1] = diag[-1] if abs(diag[-1]) > eps else eps
     y = [0.0] * (n + 2)
     for i in range(n - 1, -1, -1):
         y[i] = (rhs[i] - up[i] * y[i + 1] - upper2[i] * y[i + 2]) / diag[i]
