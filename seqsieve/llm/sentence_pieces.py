@@ -1,26 +1,26 @@
-"""SentencePiece encoding and decoding: each distinct marked word is segmented once, its ids are joined back by position."""
+"""SentencePiece encoding and decoding: each distinct marked word of a task is segmented once, its ids are joined back by position."""
 
 from __future__ import annotations
 
 import hashlib
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import documents, pieces, stored
+from .common import documents, pieces
 
 MARK = "▁"
-#: A block of texts shares one table of chunks; it ends once it has so many bytes of text or so many distinct chunks.
-BLOCK_BYTES, BLOCK_CHUNKS = 8 << 20, 1 << 15
-#: A chunk starts with all of its markers: no piece has a marker behind another letter, so none reaches over a chunk's end.
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+#: Distinct chunks of a task's table, some 150 MB; a full one is begun anew.
+MOST_CHUNKS = 1 << 19
+#: Longer chunks are segmented by themselves.
+LONG = 64
+NONE = float("-inf")
 
 
 class Model:
@@ -60,16 +60,27 @@ class Model:
             else:
                 raise ValueError(f"piece {i} is of a kind that isn't read")
         self.numbers = [str(i) for i in range(len(self.labels))]
+        # for segment_all(): ids of single letters, and sorted pairs of pieces with their join's score and id
+        self.letter = np.full(0x110000, -1, np.int32)
+        pairs = []
+        for p, (score, i) in self.ranked.items():
+            if len(p) == 1:
+                self.letter[ord(p)] = i
+            for at in range(1, len(p)):
+                if (a := self.ranked.get(p[:at])) and (b := self.ranked.get(p[at:])):
+                    pairs.append((a[1] << 32 | b[1], score, i))
+        pairs = sorted(pairs) or [(-1, NONE, -1)]
+        self.pair_key, self.pair_score, self.pair_id = (np.array([x[j] for x in pairs], t) for j, t in enumerate((np.int64, np.float64, np.int32)))
+        # letters of longer pieces join their neighbours; all others stand alone, so that a chunk ends at them. A chunk starts
+        # with all of its markers: no piece has a marker behind another letter, so none reaches over a chunk's end
+        joined = "".join(map(re.escape, sorted(set("".join(p for p in self.ranked if len(p) > 1)) - {MARK})))
+        self.chunked = re.compile(f"{MARK}+[{joined}]*|[{joined}]+|[^{MARK}{joined}]" if joined else f"{MARK}+|[^{MARK}]").findall
 
     def chunks(self, text: str) -> list[str]:
         """The marked words of a text, in order; an empty text has none."""
         if not text:
             return []
-        text = text.replace(" ", MARK)
-        if self.dummy_prefix:
-            return CHUNK.findall(MARK + text)
-        head = re.match(f"[^{MARK}]*", text).group()
-        return ([head] if head else []) + CHUNK.findall(text[len(head) :])
+        return self.chunked((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of a chunk: of all neighbours whose join is a piece those of the best score are joined first, the leftmost of
@@ -104,6 +115,47 @@ class Model:
                 out += ids if min(ids) >= 0 else [self.unk_id]
         return out
 
+    def _joins(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the pieces that pairs of ids join to; NONE where they join to none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_key, key).clip(max=len(self.pair_key) - 1)
+        return np.where(self.pair_key[at] == key, self.pair_score[at], NONE), self.pair_id[at]
+
+    def segment_all(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many chunks end to end, and how many each has: as segment(), a join in every chunk at a time."""
+        alone = {i: self.segment(c) for i, c in enumerate(chunks) if len(c) > LONG}
+        lens = np.array([0 if i in alone else len(c) for i, c in enumerate(chunks)], np.int64)
+        letters = np.frombuffer("".join(c for i, c in enumerate(chunks) if i not in alone).encode("utf-32-le"), "<u4")
+        own, ids = np.repeat(np.arange(len(chunks)), lens), self.letter[letters]
+        for i in np.unique(own[ids < 0]).tolist():  # letters that are no piece become bytes
+            alone[i] = self.segment(chunks[i])
+        keep = ~np.isin(own, list(alone))
+        own, ids = own[keep], ids[keep]
+        done = [(np.repeat(list(alone), [len(v) for v in alone.values()]).astype(np.int64), np.array([x for v in alone.values() for x in v], np.int32))]
+        score, joined = np.full(len(own), NONE), np.zeros(len(own), np.int32)
+        inner = np.flatnonzero(own[:-1] == own[1:])
+        score[inner], joined[inner] = self._joins(ids[inner], ids[inner + 1])
+        while len(own):
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            best = np.repeat(np.maximum.reduceat(score, starts), np.diff(np.r_[starts, len(own)]))
+            ended = best == NONE
+            done.append((own[ended], ids[ended]))
+            own, ids, score, joined, best = (x[~ended] for x in (own, ids, score, joined, best))
+            hit = np.flatnonzero(score == best)
+            hit = hit[np.r_[True, own[hit][1:] != own[hit][:-1]]] if len(hit) else hit  # the leftmost of each chunk
+            ids[hit] = joined[hit]
+            gone = np.zeros(len(own), bool)
+            gone[hit + 1] = True
+            own, ids, score, joined = (x[~gone] for x in (own, ids, score, joined))
+            hit -= np.arange(len(hit))  # one letter went before each later one
+            for left in (hit, hit[(hit > 0)] - 1):
+                inside = left[left + 1 < len(own)]
+                score[left] = NONE
+                inside = inside[own[inside] == own[inside + 1]]
+                score[inside], joined[inside] = self._joins(ids[inside], ids[inside + 1])
+        own, ids = (np.concatenate([d[j] for d in done]) for j in (0, 1))
+        return ids[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(chunks))
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: labels joined, runs of bytes read as UTF-8 (each byte that is part of no letter: U+FFFD); of the
         markers at the start one is the prefix that encoding adds, and goes."""
@@ -173,113 +225,56 @@ def load(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((hashlib.sha256(raw).hexdigest(), raw))
 
 
-def marked_words(docs: DataFrame, shared, text: str = "text") -> DataFrame:
-    """Blocks of texts as numbers into their own tables of distinct chunks, stored. Two kinds of rows: of a chunk (block, slot,
-    chunk), and of a text (block, row: its other columns, width, slots: the slots of its chunks in order as unsigned numbers of
-    width bytes). A block is cut from one task's rows; a text is never cut."""
-    keep = [c for c in docs.columns if c != text]
-    picked = docs.select(F.struct(F.lit(True).alias("_"), *keep).alias("row"), F.col(text).alias("text"))
-    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("chunk", T.StringType()), T.StructField("row", picked.schema["row"].dataType), T.StructField("width", T.IntegerType()), T.StructField("slots", T.BinaryType())])
+class Chunks(dict):
+    """A table of distinct chunks: their numbers by chunk, and by number where their ids stand and how many they are. A chunk is
+    segmented once, when it first occurs."""
 
-    def run(batches):
-        model, base, nth = _model(shared), TaskContext.get().partitionId() << 32, 0
-        known: dict[str, int] = {}
-        size, rows_type = 0, None
-
-        def table():
-            n = len(known)
-            return pa.RecordBatch.from_arrays([pa.array([base + nth] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(known, pa.string()), pa.nulls(n, rows_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=kind.names)
-
-        for batch in pieces(batches, "text"):
-            rows_type = batch.schema.field("row").type
-            blocks, widths, slots, tables = [], [], [], []
-            for x in batch.column("text").to_pylist():
-                chunks = model.chunks(x or "")
-                for c in dict.fromkeys(chunks):
-                    if c not in known:
-                        known[c] = len(known)
-                at = np.fromiter(map(known.__getitem__, chunks), np.uint32, len(chunks))
-                width = 2 if len(known) <= 1 << 16 else 4
-                blocks.append(base + nth)
-                widths.append(width)
-                slots.append(at.astype(f"<u{width}").tobytes())
-                size += len(x or "")
-                if size >= BLOCK_BYTES or len(known) >= BLOCK_CHUNKS:
-                    tables.append(table())
-                    known, size, nth = {}, 0, nth + 1
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), batch.column("row"), pa.array(widths, pa.int32()), pa.array(slots, pa.binary())], names=kind.names)
-            yield from tables
-        if known:
-            yield table()
-
-    return stored(picked.mapInArrow(run, kind), "marked")
-
-
-def segmented(chunks: DataFrame, shared) -> DataFrame:
-    """(chunk, ids) of each distinct chunk, segmented once."""
+    def __init__(self, model: Model):
+        self.model, self.flat, self.sizes = model, array("i"), array("i")
 
-    def run(batches):
-        model = _model(shared)
-        for batch in pieces(batches, "chunk"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.segment(c) for c in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["chunk", "ids"])
+    def learn(self, chunks: list[str]) -> None:
+        """Takes in chunks that aren't there yet, each once."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self]
+        if new:
+            ids, sizes = self.model.segment_all(new)
+            self.flat.frombytes(ids.astype(np.int32).tobytes())
+            self.sizes.frombytes(sizes.astype(np.int32).tobytes())
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
 
-    return chunks.select("chunk").distinct().mapInArrow(run, "chunk string, ids array<int>")
+    def ids(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of chunks given by number, end to end."""
+        sizes = np.array(self.sizes, np.int64)
+        starts, n = np.cumsum(sizes) - sizes, sizes[slots]
+        to = np.cumsum(n)
+        return np.array(self.flat, np.int32)[np.repeat(starts[slots] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """All columns of docs but the text and one of the name `out`, then `out`: array of token ids, as the library gives them
     without begin and end. Null and empty texts give an empty array; repeated rows and null keys stay as they are.
 
-    Texts become numbers into tables of the distinct chunks of their blocks (marked_words()); the chunks of all blocks are made
-    distinct and segmented, and joined back to the blocks' tables; block by block the ids take the numbers' places. What is
-    shuffled is two bytes for each word, and the tables; a block's table is all that a task holds."""
-    spark, keep = docs.sparkSession, [c for c in docs.columns if c not in (text, out)]
-    shared = load(spark, path)
-    marked = marked_words(docs.select(*keep, text), shared, text)
-    kind = marked.schema["row"].dataType
-    table = marked.filter("slot is not null").select("block", "slot", "chunk")
-    known = table.join(segmented(table, shared), "chunk").select("block", "slot", "ids", F.lit(None).cast(kind).alias("row"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("binary").alias("slots"))
-    texts = marked.filter("slot is null").select("block", "slot", F.lit(None).cast("array<int>").alias("ids"), "row", "width", "slots")
-    dealt = known.union(texts).repartition("block").sortWithinPartitions("block", F.col("slot").asc_nulls_last())
-
-    def run(batches, most=1 << 20):
-        block, parts, starts, sizes, flat = None, [], None, None, None
-        for batch in batches:
-            have, at = [], []
-            total = 0
-
-            def made():
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in have])))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(have) if have else np.zeros(0, np.int32), pa.int32()))
-                return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), lists], names=["row", "ids"])  # noqa: B023
-
-            blocks, slot = batch.column("block").to_numpy(), batch.column("slot").is_null().to_numpy(zero_copy_only=False)
-            width, slots, ids = batch.column("width"), batch.column("slots"), batch.column("ids")
-            for i in range(len(blocks)):
-                if blocks[i] != block:
-                    block, parts, flat = blocks[i], [], None
-                if not slot[i]:
-                    parts.append(ids[i].values.to_numpy(zero_copy_only=False))
-                    continue
-                if flat is None:  # the block's table is whole: rows of texts come after it
-                    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                    starts = np.cumsum(sizes) - sizes
-                    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-                x = np.frombuffer(slots[i].as_py(), f"<u{width[i].as_py()}")
-                n = sizes[x]
-                to = np.cumsum(n)
-                have.append(flat[np.repeat(starts[x] - to + n, n) + np.arange(to[-1] if len(to) else 0)])
-                at.append(i)
-                total += len(have[-1])
-                if total >= most:
-                    yield made()
-                    have, at, total = [], [], 0
-            if at:
-                yield made()
-
-    got = dealt.mapInArrow(run, T.StructType([T.StructField("row", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return got.select(*(F.col("row")[c].alias(c) for c in keep), F.col("ids").alias(out))
+    A task's texts become numbers into its table of distinct chunks; each chunk is segmented once for the table, and ids take the
+    numbers' places for some MB of text at a time. Nothing is shuffled; the table is of bounded size."""
+    shared, keep = load(docs.sparkSession, path), [c for c in docs.columns if c not in (text, out)]
+
+    def run(batches):
+        model = _model(shared)
+        table = Chunks(model)
+        for batch in pieces(batches, text):
+            if len(table) >= MOST_CHUNKS:
+                table = Chunks(model)
+            chunks, counts = [], [0]
+            for x in batch.column(text).to_pylist():
+                chunks += (own := model.chunks(x or ""))
+                counts.append(len(own))
+            table.learn(chunks)
+            at = np.fromiter(map(table.__getitem__, chunks), np.int32, len(chunks))
+            ends = np.concatenate(([0], np.cumsum(np.array(table.sizes, np.int64)[at])))[np.cumsum(counts)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(table.ids(at), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [lists], names=[*keep, out])
+
+    picked = docs.select(*keep, text)
+    return picked.mapInArrow(run, T.StructType([*picked.select(*keep).schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(tokens: DataFrame, path: str, ids: str = "ids", finish=None, ddl: str = "text string") -> DataFrame:

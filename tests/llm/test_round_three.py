@@ -106,16 +106,37 @@ def test_encode(spark, library, monkeypatch):
     assert sentence_pieces.encode(docs.filter("false"), path).collect() == []
 
 
-def test_many_blocks(spark, library, monkeypatch):
-    monkeypatch.setattr(sentence_pieces, "BLOCK_CHUNKS", 3)
+def test_small_tables(spark, library, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "MOST_CHUNKS", 3)
     texts = [f"word{i % 7} and  {i}" for i in range(50)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    marked = sentence_pieces.marked_words(docs, sentence_pieces.load(spark, sentence_pieces.default_model()))
-    assert marked.filter("slot is not null").groupBy("block", "chunk").count().filter("count > 1").isEmpty()
     got = sentence_pieces.encode(docs, sentence_pieces.default_model())
     assert {r.doc_id: r.ids for r in got.collect()} == {i: library.encode(t) for i, t in enumerate(texts)}
 
 
+def test_chunks_are_segmented_once(monkeypatch):
+    with open(sentence_pieces.default_model(), "rb") as f:
+        model = sentence_pieces.Model(f.read())
+    table, seen = sentence_pieces.Chunks(model), []
+    monkeypatch.setattr(model, "segment_all", lambda c, own=model.segment_all: seen.extend(c) or own(c))
+    chunks = model.chunks("the cat\nthe cat, the  cat")
+    table.learn(chunks)
+    table.learn(chunks)
+    slots = np.array([table[c] for c in chunks])
+    assert sorted(seen) == sorted(set(chunks)) and table.ids(slots).tolist() == [i for c in chunks for i in model.segment(c)]
+
+
+def test_segment_all():
+    with open(sentence_pieces.default_model(), "rb") as f:
+        model = sentence_pieces.Model(f.read())
+    rnd = random.Random(2)
+    chunks = ["".join(rnd.choice("▁aabtheionsé😀\n..==") for _ in range(rnd.randint(1, 30))) for _ in range(3000)] + ["a" * 500, "😀"]
+    ids, sizes = model.segment_all(chunks)
+    assert np.split(ids, np.cumsum(sizes)[:-1])[17].tolist() == model.segment(chunks[17])
+    assert ids.tolist() == [i for c in chunks for i in model.segment(c)]
+    assert model.segment_all([])[0].tolist() == []
+
+
 def test_op12(spark, library):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = QUERIES["op12_sentence_pieces"](spark, DATA).collect()
