@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as seqf
-from ..operators import binning, clades, controls, select, sweep
+from ..operators import binning, clades, controls, linkage, select, sweep
 from ..specs import Spec, parse_specs, threshold_sets
 from . import projection as p
 
@@ -447,7 +447,7 @@ def sweep_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def tree_cut_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average-linkage clusters at distance 0.2 (H-3 to H-5, R3)."""
-    return clades.clades(p.aligned(spark, sf_dir), 0.2)
+    return linkage.linkage(p.aligned(spark, sf_dir), 0.2)[0]
 
 
 _SINGLE = [n for n in parse_specs(p.ADDITIVE).names()]

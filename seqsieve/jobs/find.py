@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import length_bounds
-from ..operators import binning, clades, controls, select, sweep
+from ..operators import binning, clades, controls, linkage, select, sweep
 from ..sources import files
 from ..specs import Grid, parse_specs, single_set, threshold_sets
 
@@ -49,7 +49,7 @@ def load(spark: SparkSession, asv_path: str, readmap: str | None = None, librari
     elif want_clades:
         if not files.is_aligned(asvs.select("asv_ord", F.col("aligned_seq").alias("seq"))):
             raise files.FormatError("clades need aligned sequences or a tree")
-        own = clades.clades(asvs.select("asv_ord", F.col("aligned_seq").alias("seq")), divergence, model)
+        own, _ = linkage.linkage(asvs.select("asv_ord", F.col("aligned_seq").alias("seq")), divergence, model)
         groups["clade"] = asvs.join(own, "asv_ord").select(F.col("clade").cast("string").alias("group_id"), "asv_id")
     return Inputs(asvs, counts, groups)
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rounds import folder  # noqa: F401
+
 #: Thresholds of the registered sweeps.
 SWEEP = "[library; n; 25-100/4] * [library; p; 0.0005-0.007/14]"
 ADDITIVE = "[library; n; 25-100/4] + [library; p; 0.0005-0.007/14] + [library|clade; p; 0.05-0.5/10]"
@@ -59,11 +58,3 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("s_suppkey") % 60).cast("int")
     seq = F.concat(F.substring(base, F.lit(1), at), own, F.substring(base, at + 5, F.lit(64)))
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asv_ord"), seq.alias("seq"))
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which driver and executors share; a local session without one gets a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from seqsieve.operators import clades
+from seqsieve.operators import clades, linkage
 
 
 def test_newick_cut():
@@ -23,7 +23,7 @@ def test_components_cut_alike():
     for _ in range(50):
         x = rng.random((14, 2))
         d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-        whole = clades.upgma_clusters(d, 0.25)
+        whole = linkage.average_linkage(d, 0.25)[0]
         part = np.arange(14)
         while True:
             new = np.array([part[d[i] <= 0.25].min() for i in range(14)])
@@ -33,7 +33,7 @@ def test_components_cut_alike():
         split = np.full(14, -1)
         for c in np.unique(part):
             own = np.flatnonzero(part == c)
-            split[own] = own[clades.upgma_clusters(d[np.ix_(own, own)], 0.25)]
+            split[own] = own[linkage.average_linkage(d[np.ix_(own, own)], 0.25)[0]]
         assert (whole == split).all()
 
 
@@ -49,9 +49,75 @@ def test_clades_of_families(spark):
     base = ["".join(rnd.choices("ACGT", k=120)) for _ in range(3)]
     rows = [(i, mutate(rnd, base[i % 3], 4)) for i in range(18)]
     df = spark.createDataFrame(rows, "asv_ord long, seq string")
-    assert {r.asv_ord: r.clade for r in clades.clades(df, 0.2).collect()} == {i: i % 3 for i in range(18)}
-    with pytest.raises(ValueError):
-        clades.clades(df, 0.2, largest=2)
+    label, merges = linkage.linkage(df, 0.2)
+    assert {r.asv_ord: r.clade for r in label.collect()} == {i: i % 3 for i in range(18)}
+    assert merges.count() == 15
+
+
+def brute(rows, height, model, freq):
+    """Average linkage the plain way: all distances, the nearest two merge, sums over all pairs."""
+    x = clades._codes([s.upper() for _, s in rows])
+    d = clades.pair_distances(x, x, model, freq)
+    np.fill_diagonal(d, 0)
+    d[np.isnan(d)] = np.ceil(np.nanmax(d))
+    groups, merges = [[i] for i in range(len(rows))], []
+    while len(groups) > 1:
+        mean, i, j = min((d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if mean > height:
+            break
+        merges.append((rows[groups[i][0]][0], rows[groups[j][0]][0], round(mean, 9), len(groups[i] + groups[j])))
+        groups[i] = sorted(groups[i] + groups[j])
+        del groups[j]
+    return {rows[k][0]: rows[g[0]][0] for g in groups for k in g}, merges
+
+
+@pytest.mark.parametrize("in_task,model,height,odd", [(2048, "F84", 0.3, False), (2048, "JC69", 0.05, True), (0, "F84", 0.2, False)])
+def test_linkage_is_average_linkage(spark, in_task, model, height, odd):
+    rnd = random.Random(8)
+    rows, base = [], "".join(rnd.choices("ACGT", k=180))
+    for i in range(40 if in_task else 20):  # lines of descent, so that clusters nest and distances rarely tie
+        parent = rnd.choice(rows)[1] if rows else base
+        seq = mutate(rnd, parent, rnd.randint(1, 25 if model != "JC69" else 6))
+        if odd and i % 9 == 4:
+            seq = seq[:60] + "-" * 120
+        elif odd and i % 9 == 5:
+            seq = "-" * 60 + seq[60:]
+        rows.append((i * 7 + 1, seq))
+    rows += [(1000, rows[3][1].lower()), (2, rows[3][1])]
+    df = spark.createDataFrame(rows, "asv_ord long, seq string").repartition(3)
+    rows.sort()
+    label, merges = linkage.linkage(df, height, model, in_task=in_task)
+    want, steps = brute(rows, height, model, clades.frequencies(df))
+    assert {r.asv_ord: r.clade for r in label.collect()} == want
+    got = sorted(round(r.height, 9) for r in merges.collect())
+    assert got == pytest.approx(sorted(m[2] for m in steps), abs=1e-8)
+    assert linkage.linkage(df.filter("false"), height, model)[0].collect() == []
+
+
+@pytest.mark.parametrize("most", [0.01, 0.03])
+def test_near_pairs_are_all(spark, most, monkeypatch):
+    """Segments find what comparing all finds: with gaps, hot segments of many sequences, and tiles of few."""
+    monkeypatch.setattr(clades, "BLOCK", 8)
+    rnd = random.Random(9)
+    base, rows = "".join(rnd.choices("ACGT", k=200)), []
+    for i in range(80):
+        seq = base[:100] + mutate(rnd, base[100:], rnd.randint(0, 5)) if i % 2 else mutate(rnd, rnd.choice(rows)[1] if rows else base, rnd.randint(0, 4))
+        if i % 7 == 3:
+            at = rnd.randrange(150)
+            seq = seq[:at] + "-" * rnd.choice((3, 40, 50)) + seq[at:]
+            seq = seq[:200]
+        rows.append((i, seq))
+    df = spark.createDataFrame(rows, "asv_ord long, seq string").repartition(3)
+    assert clades.segments_for(200, int(most * 200), 2) is not None
+    want = {(r.a, r.b): round(r.d, 12) for r in clades.distances(df, "F84", most).collect()}
+    found = [((r.a, r.b), round(r.d, 12)) for r in clades.near_pairs(df, most).collect()]
+    assert len(found) == len(want) > 20 and dict(found) == want
+    assert clades.near_pairs(df.filter("false"), most, freq=dict.fromkeys("ACGT", 0.25)).collect() == []
+
+
+def test_pairs_of_blocks(spark):
+    for n in (0, 1, 2, 7, 300):
+        assert sorted(map(tuple, clades._triangle(spark, n).select("i", "j").collect())) == [(i, j) for i in range(n) for j in range(i, n)]
 
 
 def test_distances(spark):
