@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import length_bounds
-from ..operators import binning, clades, controls, linkage, select, sweep
+from ..operators import binning, clades, controls, linkage, select, sweep, trees
 from ..sources import files
 from ..specs import Grid, parse_specs, single_set, threshold_sets
 
@@ -41,11 +41,10 @@ def load(spark: SparkSession, asv_path: str, readmap: str | None = None, librari
     if taxa:
         groups["taxon"] = files.read_taxa(spark, taxa, asvs)
     if tree:
-        text = spark.read.text(tree, wholetext=True).first().value
-        # tips may have "-" for ";": known names are translated, not every "-"; the tree itself is one text on the driver
-        tips = [(t, str(c)) for t, c in clades.cut_tree(clades.parse_newick(text), divergence).items()]
-        known = asvs.select("asv_id", F.replace("asv_id", F.lit(";"), F.lit("-")).alias("tip"))
-        groups["clade"] = spark.createDataFrame(tips, "tip string, group_id string").join(known, "tip", "left").select("group_id", F.coalesce("asv_id", "tip").alias("asv_id"))
+        # tips may have "-" for ";": known names are translated, not every "-"
+        known = asvs.select("asv_id", F.replace("asv_id", F.lit(";"), F.lit("-")).alias("name"))
+        tips = trees.cut(trees.read_tree(spark, tree), divergence).select("name", F.col("clade").cast("string").alias("group_id"))
+        groups["clade"] = tips.join(known, "name", "left").select("group_id", F.coalesce("asv_id", "name").alias("asv_id"))
     elif want_clades:
         if not files.is_aligned(asvs.select("asv_ord", F.col("aligned_seq").alias("seq"))):
             raise files.FormatError("clades need aligned sequences or a tree")
@@ -54,6 +53,13 @@ def load(spark: SparkSession, asv_path: str, readmap: str | None = None, librari
     return Inputs(asvs, counts, groups)
 
 
+def whole_tree(inputs: Inputs, model: str = "F84") -> DataFrame:
+    """The whole average-linkage tree of aligned sequences, as trees.read_tree() has it; trees.newick_lines() is its text (K-6)."""
+    rows = inputs.asvs.select("asv_ord", F.col("aligned_seq").alias("seq"))
+    _, merges = linkage.linkage(rows, float("inf"), model)
+    return trees.tree_of(merges, inputs.asvs.select("asv_ord", F.replace("asv_id", F.lit(";"), F.lit("-")).alias("name")))
+
+
 def find_controls(inputs: Inputs, references: DataFrame, bounds: tuple[int | None, int | None], table: int = 5, frame: int | None = None, confidence: float = 0.95, least_stops: int = 100, least_match: int | None = None, ignore_ambiguous: bool = False, expected: int | None = None, by_codon: bool = False) -> DataFrame:
     """(asv_id, reason). references: (ref_id, ref_seq). Without a frame it is detected. Matches need 0.8 of the least length."""
     asvs = inputs.asvs

@@ -58,7 +58,7 @@ def _greatest(aligned: DataFrame, model: str, freq: dict[str, float]) -> float:
 def linkage(aligned: DataFrame, height: float = 0.2, model: str = "F84", in_task: int = 2048) -> tuple[DataFrame, DataFrame]:
     """((asv_ord, clade), merges): the clusters of the average-linkage tree cut at height, a clade's number its first member's; and
     the tree's merges up to there (left, right, height, size of both), a cluster's number its first member's, children's heights
-    at most their parents'.
+    at most their parents'. An infinite height gives the whole tree, for which all pairs are made.
 
     Equal sequences are one, weighted, from the start. Clusters can't reach over components of the graph of pairs within the
     height; components of up to `in_task` distinct sequences are clustered in a task each. Larger ones, of any size, are merged in
@@ -74,8 +74,13 @@ def linkage(aligned: DataFrame, height: float = 0.2, model: str = "F84", in_task
     first = rows.withColumn("_own", F.when(bare, F.col("asv_ord")).otherwise(F.lit(-1))).select("asv_ord", "seq", "_own")
     keyed = same.select(F.col("asv_ord").alias("c"), "seq", F.when(bare, F.col("asv_ord")).otherwise(F.lit(-1)).alias("_own"))
     member = first.join(keyed, ["seq", "_own"]).select("asv_ord", "c")
-    edges = stored(c.near_pairs(same, height, model, freq=freq), "near")
-    parts = c.connected(same, edges)
+    if not np.isfinite(height):  # the whole tree: all hang together
+        n = same.count()
+        edges = c.distances(same, model, freq=freq) if n > in_task else None
+        parts = same.select("asv_ord", F.lit(0).cast("long").alias("component"))
+    else:
+        edges = stored(c.near_pairs(same, height, model, freq=freq), "near")
+        parts = c.connected(same, edges)
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
     parts = stored(parts.join(sizes, "component"), "parts")
     small = same.join(parts.filter(F.col("n") <= in_task), "asv_ord")
@@ -160,7 +165,8 @@ def _in_rounds(rows: DataFrame, edges: DataFrame, height: float, model: str, fre
     member = stored(rows.select("asv_ord", F.col("asv_ord").alias("c")), "members")
     n = F.col("w_a") * F.col("w_b")
     links = edges.join(weight.select(F.col("c").alias("a"), F.col("size").alias("w_a")), "a").join(weight.select(F.col("c").alias("b"), F.col("size").alias("w_b")), "b")
-    links = stored(links.select("a", "b", (F.col("d") * n).alias("s"), F.lit(0).cast("long").alias("u"), n.alias("n")), "links")
+    none = F.isnan("d")
+    links = stored(links.select("a", "b", F.when(none, 0.0).otherwise(F.col("d") * n).alias("s"), F.when(none, n).otherwise(0).cast("long").alias("u"), n.alias("n")), "links")
     weight, made = stored(weight, "weights"), None
     while True:
         top = 0.0 if links.filter("u > 0").isEmpty() else undefined()

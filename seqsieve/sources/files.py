@@ -60,12 +60,12 @@ def sniff(spark: SparkSession, path: str) -> str:
     return kind
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, nth, value): the lines of text files, numbered from 0 in each. A file is read in splits by many tasks; the lines
+def numbered_lines(spark: SparkSession, path: str, sep: str = "\n") -> DataFrame:
+    """(path, nth, value): the lines of text files, or what else sep parts, numbered from 0 in each. A file is read in splits by many tasks; the lines
     are counted by split and the counts of the splits before are added, a row for each split."""
     from pyspark.sql import Window
 
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    lines = spark.read.text(path, lineSep=sep).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
     upto = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = lines.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     starts = starts.select("path", "_block", "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))

@@ -6,17 +6,6 @@ import pytest
 from seqsieve.operators import clades, linkage
 
 
-def test_newick_cut():
-    tree = clades.parse_newick("((a:0.1,b:0.1):0.2,(c:0.05,'d e':0.05):0.25);")
-    assert clades.cut_tree(tree, 0.2) == {"a": 1, "b": 1, "c": 2, "d e": 2}
-    assert clades.cut_tree(tree, 0.15) == {"a": 1, "b": 2, "c": 3, "d e": 3}
-    assert set(clades.cut_tree(tree, 0.6).values()) == {1}
-    with pytest.raises(ValueError):
-        clades.cut_tree(clades.parse_newick("((a:0.1,b:0.3):0.2,c:0.3);"), 0.1)
-    with pytest.raises(ValueError):
-        clades.parse_newick("((a:0.1,b:0.3)")
-
-
 def test_components_cut_alike():
     """Clustering each component of the graph within the height gives what clustering everything gives."""
     rng = np.random.default_rng(0)
