@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as seqf
-from ..operators import binning, clades, controls, linkage, select, sweep
+from ..operators import binning, clades, controls, linkage, refmatch, select, sweep, trees
 from ..specs import Spec, parse_specs, threshold_sets
 from . import projection as p
 
@@ -164,12 +164,16 @@ def _grid_sql(text: str) -> str:
     return f"SELECT CAST(i AS BIGINT) AS resultindex, term, {cols} FROM (VALUES {', '.join(rows)}) t(i, term, {cols})"
 
 
-@registered(f"WITH g AS ({_grid_sql(p.ADDITIVE)}) SELECT g.* FROM g")
+@registered(_SCORED + f", g AS ({_grid_sql(p.ADDITIVE)}) SELECT g.*, (SELECT count(*) FROM scored WHERE ln < library_n_threshold) AS below FROM g")
 def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All threshold sets of the additive specification (X-6, X-8, W-4)."""
-    grid = threshold_sets(spark, parse_specs(p.ADDITIVE))
-    some = p.table(spark, sf_dir, "part").limit(1).select(F.lit(1))  # the grid of an empty table is empty
-    return grid.crossJoin(F.broadcast(some)).drop("1")
+    """All threshold sets of the additive specification, with the number of sequences whose greatest count in a library is below
+    the set's (X-6, X-8, W-4)."""
+    grid = parse_specs(p.ADDITIVE)
+    levels = sorted({t for term in grid.terms for t in term.get("library_n", [])} | {0.0})
+    own = binning.scores(p.counts(spark, sf_dir), {}, Spec("library", (), "n"))
+    below = own.agg(*(F.count_if(F.col("score") < t).alias(str(i)) for i, t in enumerate(levels)))
+    below = below.select(F.explode(F.array(*(F.struct(F.lit(t).alias("library_n_threshold"), F.col(str(i)).alias("below")) for i, t in enumerate(levels)))).alias("x")).select("x.*")
+    return threshold_sets(spark, grid).join(F.broadcast(below), "library_n_threshold")  # a row for each level
 
 
 def _sweep_sql(text: str) -> str:
@@ -321,7 +325,7 @@ _TOTALS = ", totals AS (SELECT doc_id AS asv_id, n_chars AS n FROM documents)"
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return controls.reference_hits(p.sequences(spark, sf_dir), p.references(spark, sf_dir), 50)
+    return refmatch.reference_hits(p.sequences(spark, sf_dir), p.references(spark, sf_dir), 50)
 
 
 @registered(_HITS + " SELECT asv_id, ref_id FROM hits")
@@ -330,6 +334,25 @@ def refmatch_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir)
 
 
+#: Every tenth sequence as a reference: with N inside, its start cut off, or its end; of each shift at which both overlap enough.
+_SEMI = (
+    _with("seqs")
+    + "SELECT DISTINCT asv_id, ref_id FROM (SELECT s.asv_id, r.asv_id AS ref_id, s.seq, r.x AS x, unnest(range(46 - len(s.seq), len(r.x) - 45)) AS o"
+    " FROM seqs s, (SELECT asv_id, CASE asv_id % 3 WHEN 0 THEN substr(seq, 1, 20) || 'NNN' || substr(seq, 24, 100) WHEN 1 THEN substr(seq, 9, 100) || 'ACG' ELSE substr(seq, 1, len(seq) - 8) END AS x FROM seqs WHERE asv_id % 10 = 0) r)"
+    " WHERE least(len(seq), len(x) - o) - greatest(0, -o) >= 46 AND regexp_matches(substr(seq, greatest(0, -o) + 1, least(len(seq), len(x) - o) - greatest(0, -o)),"
+    " '^' || replace(substr(x, greatest(0, o) + 1, least(len(seq), len(x) - o) - greatest(0, -o)), 'N', '.') || '$')"
+)
+
+
+@registered(_SEMI)
+def refmatch_semiperfect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences that match references with N, or hang over their ends (H-2)."""
+    s = p.sequences(spark, sf_dir)
+    part = lambda i, n=100: F.substring("seq", i, n)
+    x = F.when(F.col("asv_id") % 3 == 0, F.concat(part(1, 20), F.lit("NNN"), part(24))).when(F.col("asv_id") % 3 == 1, F.concat(part(9), F.lit("ACG"))).otherwise(F.expr("substring(seq, 1, length(seq) - 8)"))
+    return refmatch.reference_hits(s, s.filter("asv_id % 10 = 0").select(F.col("asv_id").alias("ref_id"), x.alias("ref_seq")), 46)
+
+
 _ALL = ", many AS (SELECT asv_id, ref_id // 100 AS ref_id FROM hits)"
 
 
@@ -444,12 +467,27 @@ def sweep_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.sweep(*_scored(spark, sf_dir, p.WIDE)).select("resultindex", "term", "accuracy_score", "asvsprelim_retained_n", "rejects_hash")
 
 
-@registered()
+#: Suppliers of a nation are a family: at most 8 of 64 bases differ, where between families three quarters do.
+_FAMILIES = "SELECT s_suppkey AS asv_ord, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS clade FROM supplier"
+
+
+@registered(_FAMILIES)
 def tree_cut_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average-linkage clusters at distance 0.2 (H-3 to H-5, R3)."""
     return linkage.linkage(p.aligned(spark, sf_dir), 0.2)[0]
 
 
+@registered(_FAMILIES)
+def tree_from_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole tree, written as Newick text, read again and cut (K-6, S-9, H-4)."""
+    rows = p.aligned(spark, sf_dir)
+    _, merges = linkage.linkage(rows, float("inf"))
+    path = p.folder(spark, "tree")
+    trees.newick_lines(trees.tree_of(merges, rows.select("asv_ord", F.col("asv_ord").cast("string").alias("name")))).write.text(path)
+    tips = trees.cut(trees.read_tree(spark, path), 0.2).select(F.col("name").cast("long").alias("asv_ord"), "clade")
+    return tips.join(tips.groupBy("clade").agg(F.min("asv_ord").alias("first")), "clade").select("asv_ord", F.col("first").alias("clade"))
+
+
 _SINGLE = [n for n in parse_specs(p.ADDITIVE).names()]
 _STATS = [f"{a}_{b}_{c}" for a in ("asvsprelim", "verifiedauthentic", "verifiednonauthentic", "asvsactual") for b in ("retained", "rejected") for c in ("n", "p")]
 

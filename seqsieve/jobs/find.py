@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import length_bounds
-from ..operators import binning, clades, controls, linkage, select, sweep, trees
+from ..operators import binning, clades, controls, linkage, refmatch, select, sweep, trees
 from ..sources import files
 from ..specs import Grid, parse_specs, single_set, threshold_sets
 
@@ -70,7 +70,7 @@ def find_controls(inputs: Inputs, references: DataFrame, bounds: tuple[int | Non
             raise controls.ControlSetError("too few stops, or too even, to tell the reading frame")
         frame = found.frame
     stops = controls.stop_fails(asvs, frame, table)
-    hits = controls.reference_hits(asvs, references, least_match or int(0.8 * (bounds[0] or 0)) or 1)
+    hits = refmatch.reference_hits(asvs, references, least_match or int(0.8 * (bounds[0] or 0)) or 1)
     matched = controls.resolve_ambiguous(hits, binning.total_counts(inputs.counts, asvs), ignore_ambiguous)
     return controls.control_list(short, stops, matched)
 

@@ -1,11 +1,11 @@
-"""Verified sequences: length and stop fails, reading frames, reference matches (F-2, F-4, W-1, H-2, J-4, A-10, W-2, U-1, U-2)."""
+"""Verified sequences: length and stop fails, reading frames, ambiguous references (F-2, F-4, W-1, A-10, W-2, U-1, U-2)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import even_odds, length_passes, reverse_complement, stop_codons, stop_count
+from ..functions.sequence import even_odds, length_passes, stop_codons, stop_count
 from .prefix import running_sums
 
 
@@ -45,18 +45,6 @@ def stop_fails(asvs: DataFrame, frame: int, table: int = 5) -> DataFrame:
     return asvs.filter(stop_count(F.col("seq"), frame, stop_codons(table)) > 0).select("asv_id")
 
 
-def reference_hits(asvs: DataFrame, references: DataFrame, least_length: int) -> DataFrame:
-    """(asv_id, ref_id): sequences of at least least_length that stand in a reference, on either strand (H-2, J-4).
-
-    asvs: (asv_id, seq); references: (ref_id, ref_seq), both upper case. Seeds, the first least_length bases of a sequence,
-    are joined to all such substrings of the references by hash; the whole sequence is then compared at that place."""
-    both = references.select("ref_id", "ref_seq").union(references.select("ref_id", reverse_complement(F.col("ref_seq")).alias("ref_seq")))
-    at = F.when(F.length("ref_seq") >= least_length, F.sequence(F.lit(1), F.length("ref_seq") - least_length + 1))
-    seeds = both.select("ref_id", "ref_seq", F.explode(at).alias("at")).withColumn("seed", F.xxhash64(F.substring("ref_seq", F.col("at"), F.lit(least_length))))
-    own = asvs.filter(F.length("seq") >= least_length).select("asv_id", "seq", F.xxhash64(F.substring("seq", 1, least_length)).alias("seed"))
-    return own.join(seeds, "seed").filter(F.substring("ref_seq", F.col("at"), F.length("seq")) == F.col("seq")).select("asv_id", "ref_id").distinct()
-
-
 def resolve_ambiguous(hits: DataFrame, totals: DataFrame, ignore: bool = False) -> DataFrame:
     """(ref_id, asv_id): of several sequences that match one reference the most abundant, of equals the least id; with
     ignore, only references that one sequence matches (A-10, W-2)."""
@@ -88,9 +76,3 @@ def require_controls(flagged: DataFrame) -> None:
     t, n = flagged.agg(F.count_if("is_target"), F.count_if("is_nontarget")).first()
     if not t or not n:
         raise ControlSetError(f"{t} verified authentic and {n} non-authentic sequences; both are needed")
-
-
-def first_by_total(rows: DataFrame) -> DataFrame:
-    """Of rows (ref_id, asv_id, n, hit_ord) the most abundant per reference, of equals the first (W-2)."""
-    w = Window.partitionBy("ref_id").orderBy(F.col("n").desc(), "hit_ord")
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from seqsieve.functions import sequence as s
-from seqsieve.operators import controls
+from seqsieve.operators import controls, refmatch
 
 
 def test_stop_codons():
@@ -64,8 +66,9 @@ def test_running_sums_over_groups(spark):
 def test_references(spark):
     asvs = spark.createDataFrame([("a", "ACGTTTGA"), ("b", "TCAAACGT"), ("c", "GGGGGGGG"), ("d", "ACG")], "asv_id string, seq string")
     refs = spark.createDataFrame([("r1", "TTACGTTTGACC"), ("r2", "ACGTTTGA"), ("r3", "ACGTT")], "ref_id string, ref_seq string")
-    hits = controls.reference_hits(asvs, refs, 5)
+    hits = refmatch.reference_hits(asvs, refs, 6)
     assert {tuple(r) for r in hits.collect()} == {(a, r) for a in "ab" for r in ("r1", "r2")}
+    assert {tuple(r) for r in refmatch.reference_hits(asvs, refs, 5).collect()} == {(a, r) for a in "ab" for r in ("r1", "r2", "r3")}  # over the end
     totals = spark.createDataFrame([("a", 5), ("b", 7)], "asv_id string, n long")
     assert {tuple(r) for r in controls.resolve_ambiguous(hits, totals).collect()} == {("r1", "b"), ("r2", "b")}
     assert controls.resolve_ambiguous(hits, totals, ignore=True).count() == 0
@@ -81,3 +84,40 @@ def test_control_list(spark):
     assert flagged == {"a": (False, True), "c": (True, False), "z": (False, False)}
     with pytest.raises(controls.ControlSetError):
         controls.require_controls(controls.with_controls(d("z"), tags))
+
+
+def brute_hits(asvs, refs, least):
+    """Every sequence on every reference at every shift."""
+    turn = str.maketrans("ACGTN", "TGCAN")
+    out = set()
+    for a, q in asvs:
+        for r, x in refs:
+            for ref in (x, x.translate(turn)[::-1]):
+                for shift in range(least - len(q), len(ref) - least + 1):
+                    own, other = q[max(0, -shift) :], ref[max(0, shift) :]
+                    n = min(len(own), len(other))
+                    if n >= least and all(c in ("N", b) for b, c in zip(own[:n], other[:n], strict=True)):
+                        out.add((a, r))
+    return out
+
+
+@pytest.mark.parametrize("least", [6, 20])
+def test_semiperfect(spark, least):
+    rnd = random.Random(6)
+    base = ["".join(rnd.choices("ACGT", k=60)) for _ in range(3)] + ["A" * 60, "ACAC" * 15]
+    asvs, refs = [], []
+    for i in range(30):
+        b = base[i % 5]
+        at = rnd.randrange(20)
+        asvs.append((f"a{i}", b[at : at + rnd.randint(15, 40)]))
+        r = list(b[rnd.randrange(15) : rnd.randint(30, 60)])
+        for k in rnd.sample(range(len(r)), [0, 0, 1, 3, 12][i % 5 - i // 15]):
+            r[k] = "N" if i % 2 else rnd.choice("ACGTN")
+        x = "".join(r)
+        refs.append((f"r{i}", x if i % 3 else x.translate(str.maketrans("ACGTN", "TGCAN"))[::-1]))
+    refs += [("n", "N" * 30), ("cut", base[0][:25]), ("none", None), ("short", "ACG")]
+    left = spark.createDataFrame([*asvs, ("null", None), asvs[0]], "asv_id string, seq string").repartition(3)
+    right = spark.createDataFrame(refs, "ref_id string, ref_seq string")
+    hits = refmatch.reference_hits(left, right, least).collect()
+    assert len(hits) == len(set(hits)) and set(map(tuple, hits)) == brute_hits(asvs, [r for r in refs if r[1]], least)
+    assert refmatch.reference_hits(left.filter("false"), right, least).collect() == []
