@@ -250,19 +250,20 @@ _STORE_SQL = _SCORED + f", g AS ({_grid_sql(_STORE)}), o AS (SELECT resultindex,
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, grid = _scored(spark, sf_dir, _STORE)
-    return select.encode_store(sweep.rejects(scored, threshold_sets(spark, grid), grid.names()), p.asvs(spark, sf_dir))
+    out = sweep.rejects(scored, threshold_sets(spark, grid), grid.names())
+    return select.encode_store(out.withColumnRenamed("asv_id", "asv_ord"), p.asvs(spark, sf_dir).select(F.col("asv_id").alias("asv_ord")))
 
 
 @registered(_STORE_SQL + "SELECT resultindex, CASE WHEN count(*) FILTER (rejected) < 0.5 * count(*) THEN 'reject' ELSE 'retain' END AS action, CASE WHEN count(*) FILTER (rejected) < 0.5 * count(*) THEN count(*) FILTER (rejected) ELSE count(*) FILTER (NOT rejected) END AS ids FROM o GROUP BY ALL")
 def store_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shorter of rejects and retained (U-6)."""
-    return _store(spark, sf_dir).select("resultindex", "action", F.size("asv_ids").cast("long").alias("ids"))
+    return _store(spark, sf_dir).groupBy("resultindex", "action").agg(F.sum(F.bitmap_count("bits")).alias("ids"))
 
 
 @registered(_STORE_SQL + "SELECT resultindex, asv_id FROM o WHERE NOT rejected")
 def dump_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stored sets retain (S-12, U-4)."""
-    return select.retained_from_store(p.asvs(spark, sf_dir).select("asv_id"), _store(spark, sf_dir))
+    return select.retained_from_store(p.asvs(spark, sf_dir).select(F.col("asv_id").alias("asv_ord")), _store(spark, sf_dir)).withColumnRenamed("asv_ord", "asv_id")
 
 
 @registered(_SCORED + "SELECT asv_id FROM scored WHERE NOT coalesce(lp < 0.005, false)")

@@ -50,7 +50,8 @@ def parser() -> argparse.ArgumentParser:
             lengths(p)
             frame(p, 100)
         else:
-            p.add_argument("--store")
+            p.add_argument("--store", help="a folder that find wrote, or a text file of indices, actions and sequences")
+            p.add_argument("--hashes", help="the folder of hashes that find wrote: sets that aren't stored are told by others of the same rejects")
             p.add_argument("--index", type=int, nargs="+")
             p.add_argument("--specification", nargs="+", help="terms")
     for mode in ("translate", "length"):
@@ -82,7 +83,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     text = "*".join(a.specification or []) if a.mode == "dump" else "\n".join(r.value for r in spark.read.text(a.specification).collect())
     if a.mode == "dump" and a.store:
         asvs = files.numbered(files.read_fasta(spark, a.asvs))
-        kept = jobs.dump_cached(asvs, files.read_store(spark, a.store), a.index or [])
+        text = a.store.endswith((".tsv", ".txt", ".gz"))
+        store = select.store_of_ids(files.read_store(spark, a.store), asvs) if text else spark.read.parquet(a.store)
+        kept = jobs.dump_cached(asvs, store, a.index or [], spark.read.parquet(a.hashes) if a.hashes else None)
         lines = kept.select("resultindex", "asv_ord", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value"))
         lines.sort("resultindex", "asv_ord").select("resultindex", "value").write.mode(mode).partitionBy("resultindex").text(a.output)
         return

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,11 @@ def load(spark: SparkSession, asv_path: str, readmap: str | None = None, librari
         counts = files.read_counts(spark, readmap, asvs)
     else:
         files.check_unique(asvs, "seq")
-        counts = binning.count_reads(files.match_reads(files.read_reads(spark, libraries), asvs))
+        reads = files.read_reads(spark, libraries)
+        matched = files.match_reads(reads, asvs)
+        if bare := [r.library for r in files.libraries_without_hits(reads, matched).limit(20).collect()]:
+            warnings.warn(f"no read of these libraries equals a sequence: {', '.join(sorted(bare))}", stacklevel=2)
+        counts = binning.count_reads(matched)
         if gone := asvs.join(counts, "asv_id", "left_anti").first():
             raise files.FormatError(f"{gone.asv_id!r} is in no library")
     groups = {}
@@ -87,12 +92,18 @@ def find(inputs: Inputs, controls_: DataFrame, specification: str, anyfail: bool
 def store_of(scored: DataFrame, grid: Grid, indices: list[int]) -> DataFrame:
     """The result store of chosen sets."""
     sets = threshold_sets(scored.sparkSession, grid).filter(F.col("resultindex").isin(indices))
-    return select.encode_store(sweep.rejects(scored, sets, grid.names()), scored.select("asv_id"))
-
-
-def dump_cached(asvs: DataFrame, store: DataFrame, indices: list[int]) -> DataFrame:
-    """(resultindex, sequences) that stored sets retain."""
-    return select.retained_from_store(asvs, store.filter(F.col("resultindex").isin(indices)))
+    return select.encode_store(sweep.rejects(scored, sets, grid.names(), "asv_ord"), scored.select("asv_ord"))
+
+
+def dump_cached(asvs: DataFrame, store: DataFrame, indices: list[int], hashes: DataFrame | None = None) -> DataFrame:
+    """(resultindex, sequences) that stored sets retain. With the hash store also of sets that aren't stored, if one with the
+    same rejects is."""
+    if hashes is None:
+        return select.retained_from_store(asvs, store.filter(F.col("resultindex").isin(indices)))
+    wanted = asvs.sparkSession.createDataFrame([(i,) for i in sorted(set(indices))], "resultindex long")
+    twins = select.stored_twins(wanted, hashes, store)
+    kept = select.retained_from_store(asvs, store.join(twins.select(F.col("stored").alias("resultindex")).distinct(), "resultindex", "left_semi"))
+    return twins.join(kept.withColumnRenamed("resultindex", "stored"), "stored").drop("stored")
 
 
 def dump_spec(inputs: Inputs, terms: list[str], anyfail: bool = False) -> DataFrame:

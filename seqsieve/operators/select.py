@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def best_sets(results: DataFrame, metric: str = "accuracy_score") -> DataFrame:
@@ -25,23 +30,45 @@ def unique_compositions(results: DataFrame) -> DataFrame:
     return results.groupBy("rejects_hash").agg(F.min("resultindex").alias("resultindex"), F.count("*").alias("sets")).drop("rejects_hash")
 
 
+def bitmaps(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, bucket, bits) of rows (keys, asv_ord), asv_ord from 0: a bit for each number, 32,768 to a bucket."""
+    at = F.col("asv_ord") + 1
+    return rows.groupBy(*keys, F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+@F.pandas_udf(BinaryType())
+def _without(bits: pd.Series, others: pd.Series) -> pd.Series:
+    """Bits that the others don't have; null: none."""
+    less = lambda x, y: x if y is None else (np.frombuffer(x, np.uint8) & ~np.frombuffer(y, np.uint8)).tobytes()
+    return pd.Series([less(x, y) for x, y in zip(bits, others, strict=True)])
+
+
+def _complement(rows: DataFrame, sets: DataFrame, whole: DataFrame) -> DataFrame:
+    """(resultindex, bucket, bits) of what is in `whole` (bucket, bits) but not in a set's rows, for each of the chosen sets."""
+    chosen = sets.agg(F.collect_set("resultindex").alias("_sets"))  # one row of the chosen sets' numbers
+    every = whole.crossJoin(F.broadcast(chosen)).select("bucket", F.col("bits").alias("_whole"), F.explode("_sets").alias("resultindex"))
+    return every.join(rows.select("resultindex", "bucket", "bits"), ["resultindex", "bucket"], "left").select("resultindex", "bucket", _without("_whole", "bits").alias("bits"))
+
+
 def encode_store(rejected: DataFrame, asvs: DataFrame) -> DataFrame:
-    """(resultindex, action, asv_ids): the rejects if they are under half of all, else the retained (U-6).
-
-    rejected: (resultindex, asv_id) of chosen sets; sets without rejects aren't in it."""
-    total = asvs.agg(F.count("*").alias("_all"))
-    lists = rejected.groupBy("resultindex").agg(F.collect_set("asv_id").alias("_out")).crossJoin(F.broadcast(total))
-    few = F.size("_out") < F.col("_all") * 0.5
-    # the retained of a set: the sequences less those whose list of rejecting sets has it
-    many = lists.filter(~few).select("resultindex")
-    by_asv = rejected.join(many, "resultindex", "left_semi").groupBy("asv_id").agg(F.collect_set("resultindex").alias("_sets"))
-    sets = many.agg(F.collect_set("resultindex").alias("_many"))
-    rest = asvs.select("asv_id").join(by_asv, "asv_id", "left").crossJoin(F.broadcast(sets))  # one row
-    kept = rest.select("asv_id", F.explode(F.array_except("_many", F.coalesce("_sets", F.array().cast(sets.schema["_many"].dataType)))).alias("resultindex"))
-    kept = kept.groupBy("resultindex").agg(F.collect_set("asv_id").alias("_in"))
-    both = lists.join(kept, "resultindex", "left")
-    ids = F.when(few, F.col("_out")).otherwise(F.coalesce("_in", F.array().cast(lists.schema["_out"].dataType)))
-    return both.select("resultindex", F.when(few, "reject").otherwise("retain").alias("action"), F.array_sort(ids).alias("asv_ids"))
+    """(resultindex, action, bucket, bits): the rejects if they are under half of all, else the retained, as bitmaps (U-6).
+
+    rejected: (resultindex, asv_ord) of chosen sets; sets without rejects aren't in it. asvs: all (asv_ord), from 0. A row holds
+    32,768 sequences; which side is smaller is told by counting bits, and the retained are made by bit operations."""
+    out, whole = bitmaps(rejected, "resultindex"), bitmaps(asvs)
+    total = whole.agg(F.sum(F.bitmap_count("bits")).alias("_all"))
+    sizes = out.groupBy("resultindex").agg(F.sum(F.bitmap_count("bits")).alias("_out")).crossJoin(F.broadcast(total))  # one row
+    few = sizes.filter(F.col("_out") < F.col("_all") * 0.5).select("resultindex")
+    many = sizes.filter(F.col("_out") >= F.col("_all") * 0.5).select("resultindex")
+    kept = _complement(out.join(many, "resultindex", "left_semi"), many, whole)
+    act = lambda df, name: df.select("resultindex", F.lit(name).alias("action"), "bucket", "bits")
+    return act(out.join(few, "resultindex", "left_semi"), "reject").union(act(kept, "retain"))
+
+
+def store_of_ids(lines: DataFrame, asvs: DataFrame) -> DataFrame:
+    """encode_store()'s rows from read_store()'s (resultindex, action, asv_ids), with asvs: (asv_id, asv_ord)."""
+    rows = lines.select("resultindex", "action", F.explode("asv_ids").alias("asv_id")).join(asvs.select("asv_id", "asv_ord"), "asv_id")
+    return lines.select("resultindex", "action").join(bitmaps(rows, "resultindex"), "resultindex", "left")
 
 
 def retained(asvs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -50,15 +77,27 @@ def retained(asvs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def retained_from_store(asvs: DataFrame, store: DataFrame) -> DataFrame:
-    """(resultindex, asv columns) of each stored set (S-12, U-4)."""
-    rows = store.select("resultindex", "action", F.explode("asv_ids").alias("asv_id"))
-    keep = rows.filter("action = 'retain'").select("resultindex", "asv_id").join(asvs, "asv_id")
-    out = rows.filter("action = 'reject'").groupBy("asv_id").agg(F.collect_set("resultindex").alias("_sets"))
-    sets = store.filter("action = 'reject'").agg(F.collect_set("resultindex").alias("_all"))
-    rest = asvs.join(out, "asv_id", "left").crossJoin(F.broadcast(sets))  # one row
-    rest = rest.withColumn("resultindex", F.explode(F.array_except("_all", F.coalesce("_sets", F.array().cast(sets.schema["_all"].dataType)))))
-    cols = ["resultindex", *asvs.columns]
-    return keep.select(*cols).union(rest.select(*cols))
+    """(resultindex, asv columns) of each stored set (S-12, U-4); asvs has asv_ord."""
+    keep = store.filter("action = 'retain' and bits is not null").select("resultindex", "bucket", "bits")
+    out = store.filter("action = 'reject'")
+    rest = _complement(out, out.select("resultindex").distinct(), bitmaps(asvs))
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for index, bucket, bits in zip(batch["resultindex"], batch["bucket"], batch["bits"], strict=True):
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+                yield pd.DataFrame({"resultindex": index, "asv_ord": (bucket - 1) * 32768 + at})
+
+    return keep.union(rest).mapInPandas(numbers, "resultindex long, asv_ord long").join(asvs, "asv_ord").select("resultindex", *asvs.columns)
+
+
+def stored_twins(indices: DataFrame, hashes: DataFrame, store: DataFrame) -> DataFrame:
+    """(resultindex, stored): for each wanted set the least stored one with the same rejects, itself if it is stored, by the hash
+    store's fingerprints; wanted sets without any aren't in it (K-2)."""
+    have = store.select(F.col("resultindex").alias("stored")).distinct()
+    same = indices.join(hashes, "resultindex").join(hashes.withColumnRenamed("resultindex", "stored"), "rejects_hash").join(have, "stored", "left_semi").select("resultindex", "stored")
+    own = indices.join(have.withColumn("resultindex", F.col("stored")), "resultindex").select("resultindex", "stored")
+    return same.union(own).groupBy("resultindex").agg(F.min(F.struct(F.col("stored") != F.col("resultindex"), "stored")).alias("s")).select("resultindex", "s.stored")
 
 
 def hash_store(results: DataFrame) -> DataFrame:

@@ -114,9 +114,11 @@ def sweep(scored: DataFrame, grid: Grid) -> DataFrame:
     return x.select(*own, *(v.alias(k) for k, v in cols.items()))
 
 
-def rejects(scored: DataFrame, sets: DataFrame, names: list[str]) -> DataFrame:
-    """(resultindex, asv_id) of the actual rejects of a few chosen sets (F-6, U-3): rows of threshold_sets().
-    The output is as large as sets by rejects; Spark broadcasts the sets if they are under its threshold."""
-    below = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"`{n}`") < F.col(f"`{threshold_column(n)}`"), F.lit(False)) for n in names))
-    chosen = sets.select("resultindex", *(f"`{threshold_column(n)}`" for n in names))
-    return scored.join(chosen, (below | F.col("is_nontarget")) & ~F.col("is_target")).select("resultindex", "asv_id")
+def rejects(scored: DataFrame, sets: DataFrame, names: list[str], keep: str = "asv_id") -> DataFrame:
+    """(resultindex, asv_id, or the column `keep`) of the actual rejects of a few chosen sets (F-6, U-3): rows of threshold_sets().
+    The output is as large as sets by rejects. A set's thresholds are looked up where a sequence is: each sequence has the list of
+    the sets that reject it, made from a one-row list of the chosen sets."""
+    below = lambda x: reduce(lambda a, b: a | b, (F.coalesce(F.col(f"`{n}`") < x[f"t{i}"], F.lit(False)) for i, n in enumerate(names)))
+    chosen = sets.agg(F.collect_list(F.struct("resultindex", *(F.col(f"`{threshold_column(n)}`").alias(f"t{i}") for i, n in enumerate(names)))).alias("_chosen"))
+    own = scored.filter(~F.col("is_target")).crossJoin(F.broadcast(chosen))  # one row
+    return own.select(F.explode(F.filter("_chosen", lambda x: below(x) | F.col("is_nontarget"))).alias("_set"), keep).select("_set.resultindex", keep)

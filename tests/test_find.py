@@ -87,6 +87,11 @@ def test_command_line(spark, folder, tmp_path):
     cli.main(["find", *common, "--specification", str(d / "specs.txt"), "--references", str(d / "refs.fasta"), "--minimum", "80", "--maximum", "100", "--frame", "2", "--output", str(tmp_path / "out")], spark)
     assert spark.read.csv(str(tmp_path / "out/results"), header=True).count() == 9
     assert spark.read.parquet(str(tmp_path / "out/store")).count() >= 1
+    rows = spark.read.parquet(str(tmp_path / "out/hashes")).collect()
+    index = spark.read.parquet(str(tmp_path / "out/store")).first().resultindex
+    twin = max(r.resultindex for r in rows if r.rejects_hash == next(x.rejects_hash for x in rows if x.resultindex == index))
+    cli.main(["dump", "--asvs", str(d / "asvs.fasta"), "--store", str(tmp_path / "out/store"), "--hashes", str(tmp_path / "out/hashes"), "--index", str(twin), "--output", str(tmp_path / "cached")], spark)
+    assert spark.read.text(str(tmp_path / "cached")).filter("value like '>%'").count() > 0
     cli.main(["dump", *common, "--specification", "[library; n; 5]", "--output", str(tmp_path / "kept")], spark)
     assert spark.read.text(str(tmp_path / "kept")).filter("value like '>%'").count() > 0
     cli.main(["translate", "--asvs", str(d / "asvs.fasta"), "--frame", "2", "--output", str(tmp_path / "tr")], spark)

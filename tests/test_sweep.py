@@ -3,6 +3,7 @@ from itertools import product
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seqsieve.operators import binning, select, sweep
 from seqsieve.specs import Spec, parse_specs, threshold_sets
@@ -69,12 +70,23 @@ def test_value_at_the_threshold_stays(spark):
 
 
 def test_store_round_trip(spark):
-    asvs = spark.createDataFrame([(i,) for i in range(10)], "asv_id long")
-    rejected = spark.createDataFrame([(0, i) for i in range(3)] + [(1, i) for i in range(7)] + [(2, i) for i in range(10)], "resultindex long, asv_id long")
+    numbers = [*range(10), 32767, 32768, 100_000]
+    asvs = spark.createDataFrame([(i, f"s{i}") for i in numbers], "asv_ord long, asv_id string")
+    out = {0: numbers[:3], 1: numbers[:7] + [32768], 2: numbers, 5: [100_000, 9]}
+    rejected = spark.createDataFrame([(k, i) for k, v in out.items() for i in v] * 2, "resultindex long, asv_ord long")
     store = select.encode_store(rejected, asvs)
-    assert {r.resultindex: (r.action, len(r.asv_ids)) for r in store.collect()} == {0: ("reject", 3), 1: ("retain", 3), 2: ("retain", 0)}
+    sizes = {(r.resultindex, r.action): r.n for r in store.groupBy("resultindex", "action").agg(F.sum(F.bitmap_count("bits")).alias("n")).collect()}
+    assert sizes == {(0, "reject"): 3, (1, "retain"): 5, (2, "retain"): 0, (5, "reject"): 2}
+    assert store.agg(F.max(F.length("bits"))).first()[0] == 4096
     kept = {(r.resultindex, r.asv_id) for r in select.retained_from_store(asvs, store).collect()}
-    assert kept == {(0, i) for i in range(3, 10)} | {(1, i) for i in range(7, 10)}
+    want = {(k, f"s{i}") for k, v in out.items() for i in numbers if i not in v}
+    assert kept == want
+    lines = spark.createDataFrame([(7, "reject", ["s3", "s32768"]), (8, "retain", ["s0"]), (9, "retain", [])], "resultindex long, action string, asv_ids array<string>")
+    kept = {(r.resultindex, r.asv_id) for r in select.retained_from_store(asvs, select.store_of_ids(lines, asvs)).collect()}
+    assert kept == {(7, f"s{i}") for i in numbers if i not in (3, 32768)} | {(8, "s0")}
+    hashes = spark.createDataFrame([(0, 11), (1, 12), (3, 11), (4, 99), (5, 11)], "resultindex long, rejects_hash long")
+    wanted = spark.createDataFrame([(3,), (4,), (5,), (2,)], "resultindex long")
+    assert set(map(tuple, select.stored_twins(wanted, hashes, store).collect())) == {(3, 0), (5, 5), (2, 2)}
 
 
 def test_top_proportion(spark):
