@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextvars import ContextVar
 
 import numpy as np
@@ -80,6 +80,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of the given names renamed, whatever their case, and how to name them again: for withColumnsRenamed()."""
+    taken, back = {c.lower() for c in docs.columns} | {n.lower() for n in names}, {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"own{c}"
+            while new.lower() in taken:
+                new = f"own{new}"
+            taken.add(new.lower())
+            back[new] = c
+    return docs.withColumnsRenamed({v: k for k, v in back.items()}), back
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, all else left."""
     return F.translate(col, UPPER, LOWER)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, flat, pieces, settled, stored
+from .common import documents, flat, pieces, set_aside, settled, stored
 
 #: Occurrences of a sample beyond which its strings are compared by the aggregate.
 HOT = 10_000
@@ -355,6 +355,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, hot:
     of it (a letter that is cut in two goes). A null text counts as empty and stays null; other columns don't matter, but
     those of the names added are replaced. Repeated rows are each other's copies, so long ones lose all; with keep_first, of
     each repeated string one occurrence stays, and repeated rows stay alike. Memory: a text and its arrays at a time."""
+    docs, back = set_aside(docs, ("_key", "_removed", "_spans", "_sha", "_left"))
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
     keyed = docs.select(*own, text_key(F.col(text)).alias("_key"))
     texts = keyed.select(F.col("_key").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
@@ -364,7 +365,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, hot:
     left = keyed.join(found, "_key", "left")
     shown = F.coalesce("_left", F.col(text))
     more = {"n_bytes": F.length(raw).cast("long"), "n_removed": F.coalesce("_removed", F.lit(0)).cast("long"), "n_spans": F.coalesce("_spans", F.lit(0)).cast("long"), "kept_sha256": F.coalesce("_sha", F.sha2(raw, 256))}
-    return left.select(*(c for c in own if c != text), shown.alias(text), *(v.alias(k) for k, v in more.items())).select(*own, *more)
+    return left.select(*(c for c in own if c != text), shown.alias(text), *(v.alias(k) for k, v in more.items())).select(*own, *more).withColumnsRenamed(back)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
