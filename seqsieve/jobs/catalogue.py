@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -430,6 +432,49 @@ def pairwise_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("a", "b", *(F.when(~F.isnan(m), F.round(m, 6) + F.lit(0.0)).alias(m) for m in models))
 
 
+def _determinant() -> str:
+    """Of a table c00 to c33, the sum over all orders of the columns."""
+    terms = []
+    for order in permutations(range(4)):
+        odd = sum(order[i] > order[j] for i in range(4) for j in range(i + 1, 4)) % 2
+        terms.append(("-" if odd else "+") + "*".join(f"c{i}{k}" for i, k in enumerate(order)))
+    return "".join(terms)
+
+
+_CELLS = [(i, j, a + b) for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")]
+_SITES = ", ".join(f"len(list_filter(range(1, 65), lambda i: x.l[i] || v.l[i] = '{pair}'))::BIGINT AS c{i}{j}" for i, j, pair in _CELLS)
+_FIRST, _SECOND = ("*".join("(" + "+".join(f"c{i}{j}" for i, j, _ in _CELLS if (i, j)[side] == k) + ")" for k in range(4)) for side in (0, 1))
+_TABLES = (
+    f"WITH q AS (SELECT s_suppkey AS k, {_MD} AS seq FROM supplier), z AS (SELECT k, list_transform(range(1, 65), lambda i: substr(seq, CAST(i AS INT), 1)) AS l FROM q)"
+    f", n AS (SELECT x.k AS a, v.k AS b, {_SITES} FROM z x JOIN z v ON x.k < v.k), e AS (SELECT a, b, {_determinant()} AS det, {_FIRST} AS r, {_SECOND} AS c FROM n)"
+    " SELECT a, b, CASE WHEN det > 0 THEN round(-ln(det / 16777216.0::DOUBLE) / 4 - ln(4.0::DOUBLE) + 0.0, 6) END AS logdet, CASE WHEN det > 0 THEN round(-ln(det / sqrt(r::DOUBLE * c::DOUBLE)) / 4 + 0.0, 6) END AS paralin,"
+    ' CASE WHEN det > 0 THEN round(-ln(det / r::DOUBLE) / 4 + 0.0, 6) END AS "BH87" FROM e'
+)
+
+
+@registered(_TABLES)
+def pairwise_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of each pair's table of bases by bases (X-12)."""
+    models = ("logdet", "paralin", "BH87")
+    rows = clades.distances(p.aligned(spark, sf_dir), models)
+    return rows.select("a", "b", *(F.when(~F.isnan(m), F.round(m, 6) + F.lit(0.0)).alias(m) for m in models))
+
+
+#: Sequences with two runs of gaps, of lengths and at places that differ.
+_GAPPED = "left(left(seq, CAST(10 + {0} % 7 AS INT)) || repeat('-', CAST(1 + {0} % 5 AS INT)) || substr(seq, CAST(12 + {0} % 7 + {0} % 5 AS INT), 25) || repeat('-', CAST({0} % 3 AS INT)) || repeat('A', 64), 64)"
+_GAPS = (
+    f"WITH q AS (SELECT k, {_GAPPED.format('k')} AS seq FROM (SELECT s_suppkey AS k, {_MD} AS seq FROM supplier)), z AS (SELECT k, list_transform(range(1, 65), lambda i: substr(seq, CAST(i AS INT), 1) = '-') AS l FROM q)"
+    ", r AS (SELECT k, l, list_transform(list_filter(range(1, 65), lambda i: l[i] AND (i = 1 OR NOT l[i - 1])), lambda i: i * 100 + coalesce(list_filter(range(1, 65), lambda j: j > i AND NOT l[j])[1], 65)) AS runs FROM z)"
+    " SELECT x.k AS a, v.k AS b, len(list_filter(range(1, 65), lambda i: x.l[i] <> v.l[i]))::DOUBLE AS indel, (len(x.runs) + len(v.runs) - 2 * len(list_intersect(x.runs, v.runs)))::DOUBLE AS indelblock FROM r x JOIN r v ON x.k < v.k"
+)
+
+
+@registered(_GAPS)
+def pairwise_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites and runs of gaps that only one of a pair has (X-12)."""
+    return clades.distances(p.aligned(spark, sf_dir).select("asv_ord", F.expr(_GAPPED.format("asv_ord")).alias("seq")), ("indel", "indelblock"))
+
+
 @registered("WITH s AS (SELECT p_brand, count(*) AS n FROM part GROUP BY ALL) SELECT count(*) AS groups, min(n) AS smallest, max(n) AS largest FROM s")
 def clade_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many clades there are, and their least and greatest size (A-17)."""

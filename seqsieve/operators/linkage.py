@@ -67,6 +67,8 @@ def linkage(aligned: DataFrame, height: float = 0.2, model: str = "F84", in_task
     clusters with members within the height only; where a merge needs the sum of two others, it is made from the sequences. Of
     equally near pairs the one of the least numbers merges first; where it matters, ties may fall otherwise than in a task.
     Undefined distances count as the greatest of all, rounded up; it is looked for only if there are any. No rows: no clusters."""
+    if model == "BH87":
+        raise ValueError("BH87 isn't the same both ways, so there are no clusters by it")
     rows = aligned.select("asv_ord", F.upper("seq").alias("seq"))
     freq = c.frequencies(rows)
     bare = ~F.col("seq").rlike("[ACGT]")  # no distance to themselves
@@ -108,7 +110,7 @@ def _in_tasks(rows: DataFrame, height: float, model: str, freq: dict[str, float]
         def cluster(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("asv_ord", ignore_index=True)
             ords, x = frame["asv_ord"].to_numpy(), c.packed(c._codes(frame["seq"].tolist()))
-            d = np.concatenate([c.model_distances(c.site_counts(x[i : i + 64], x), model, freq) for i in range(0, len(x), 64)])
+            d = np.concatenate([c.tile_distances(x[i : i + 64], x, (model,), freq)[0] for i in range(0, len(x), 64)])
             np.fill_diagonal(d, 0.0)
             if np.isnan(d).any():
                 if top is None:
@@ -150,7 +152,7 @@ def _sums(wanted: DataFrame, member: DataFrame, rows: DataFrame, model: str, fre
                 w, v = np.array([sizes[o] for o in ox], float), np.array([others[o] for o in oy], float)
                 s = u = 0.0
                 for at in range(0, len(ox), 64):
-                    d, k = c.model_distances(c.site_counts(p[at : at + 64], q), model, freq), np.outer(w[at : at + 64], v)
+                    d, k = c.tile_distances(p[at : at + 64], q, (model,), freq)[0], np.outer(w[at : at + 64], v)
                     none = np.isnan(d)
                     s, u = s + float((np.where(none, 0.0, d) * k).sum()), u + float(k[none].sum())
                 out.append((x, y, s, int(u), int(w.sum() * v.sum())))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -121,6 +122,31 @@ def test_distances(spark):
         clades.distances(df, "XX").collect()
 
 
+def test_models_of_tables_and_gaps(spark):
+    rnd = random.Random(12)
+    base = "".join(rnd.choices("ACGT", k=130))
+    rows = [(i, mutate(rnd, base, 5 * i)) for i in range(5)]
+    rows = [(i, s if i % 2 else s[:20] + "-" * i + s[20 + i : 90] + "--N" + s[93:]) for i, s in rows]
+    df = spark.createDataFrame(rows[::-1], "asv_ord long, seq string")
+    got = {(r.a, r.b): r for r in clades.distances(df, ("logdet", "paralin", "BH87", "indel", "indelblock"), block=2).collect()}
+    assert len(got) == 10
+
+    def runs(s):
+        return {m.span() for m in re.finditer("-+", s)}
+
+    for (a, b), r in got.items():
+        x, y = rows[a][1], rows[b][1]
+        f = np.array([[sum(p == u and q == v for p, q in zip(x, y, strict=True)) for v in "ACGT"] for u in "ACGT"], float)
+        f /= f.sum()
+        assert r.logdet == pytest.approx(-np.log(np.linalg.det(f)) / 4 - np.log(4))
+        assert r.paralin == pytest.approx(-np.log(np.linalg.det(f) / np.sqrt(np.prod(f.sum(0)) * np.prod(f.sum(1)))) / 4)
+        assert r.BH87 == pytest.approx(-np.log(np.linalg.det(f / f.sum(1, keepdims=True))) / 4)
+        assert r.indel == sum((p == "-") != (q == "-") for p, q in zip(x, y, strict=True))
+        assert r.indelblock == len(runs(x) ^ runs(y))
+    with pytest.raises(ValueError):
+        linkage.linkage(df, 0.1, "BH87")
+
+
 def test_base_frequencies(spark):
     df = spark.createDataFrame([("AAc-",), ("GT",)], "seq string")
     assert {r.base: r.n for r in clades.base_frequencies(df).collect()} == {"A": 2, "C": 1, "G": 1, "T": 1}
