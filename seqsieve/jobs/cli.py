@@ -11,6 +11,7 @@ from ..functions.sequence import length_bounds
 from ..operators import select
 from ..sources import files
 from . import find as jobs
+from . import resume
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--anyfail", action="store_true")
         p.add_argument("--output", required=True)
         p.add_argument("--overwrite", action="store_true")
+        p.add_argument("--keep", help="a folder where clades and controls are kept, and taken from if inputs and options are the same")
         if mode == "find":
             p.add_argument("--specification", required=True, help="file")
             p.add_argument("--references", required=True)
@@ -89,13 +91,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         lines = kept.select("resultindex", "asv_ord", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value"))
         lines.sort("resultindex", "asv_ord").select("resultindex", "value").write.mode(mode).partitionBy("resultindex").text(a.output)
         return
-    inputs = jobs.load(spark, a.asvs, a.readmap, a.libraries, a.taxa, a.tree, a.divergence, a.model, "clade" in text)
+    inputs = jobs.load(spark, a.asvs, a.readmap, a.libraries, a.taxa, a.tree, a.divergence, a.model, "clade" in text, a.keep)
     if a.mode == "dump":
         files.fasta_lines(jobs.dump_spec(inputs, a.specification or [], a.anyfail)).write.mode(mode).text(a.output)
         return
     refs = files.read_fasta(spark, a.references).select(F.col("asv_id").alias("ref_id"), F.upper("seq").alias("ref_seq"))
     bounds = length_bounds(**_lengths(a))
-    tagged = jobs.find_controls(inputs, refs, bounds, a.table, a.frame, a.confidence, a.least_stops, a.least_match, a.ignore_ambiguous, a.expected, a.by_codon)
+    options = (bounds, a.table, a.frame, a.confidence, a.least_stops, a.least_match, a.ignore_ambiguous, a.expected, a.by_codon)
+    find_them = lambda: jobs.find_controls(inputs, refs, *options)
+    if a.keep:
+        # which of several sequences stands for a reference depends on the counts
+        stamp = {"options": options, "inputs": [resume.digest(spark, x) for x in (a.asvs, a.references, *([a.readmap] if a.readmap else sorted(a.libraries)))]}
+        tagged = resume.resumed(spark, a.keep, "controls", stamp, find_them)
+    else:
+        tagged = find_them()
     results, scored, grid = jobs.find(inputs, tagged, text, a.anyfail)
     results = results.cache()
     results.orderBy("resultindex").write.mode(mode).csv(f"{a.output}/results", header=True)

@@ -12,6 +12,7 @@ from ..functions.sequence import length_bounds
 from ..operators import binning, clades, controls, linkage, refmatch, select, sweep, trees
 from ..sources import files
 from ..specs import Grid, parse_specs, single_set, threshold_sets
+from . import resume
 
 
 @dataclass
@@ -23,9 +24,10 @@ class Inputs:
     groups: dict[str, DataFrame]
 
 
-def load(spark: SparkSession, asv_path: str, readmap: str | None = None, libraries: list[str] | None = None, taxa: str | None = None, tree: str | None = None, divergence: float = 0.2, model: str = "F84", want_clades: bool = False) -> Inputs:
+def load(spark: SparkSession, asv_path: str, readmap: str | None = None, libraries: list[str] | None = None, taxa: str | None = None, tree: str | None = None, divergence: float = 0.2, model: str = "F84", want_clades: bool = False, keep: str | None = None) -> Inputs:
     """Reads the inputs. Counts come from a table or from read files (one of the two); clades from a Newick tree, else from
-    the sequences, which must then be of one length, as aligned ones are (H-1, O-2)."""
+    the sequences, which must then be of one length, as aligned ones are (H-1, O-2). keep: a folder where clades are kept for
+    later runs of the same sequences, tree, height and model."""
     if (readmap is None) == (libraries is None):
         raise ValueError("give a count table or read files")
     raw = files.numbered(files.read_fasta(spark, asv_path))
@@ -45,16 +47,24 @@ def load(spark: SparkSession, asv_path: str, readmap: str | None = None, librari
     groups = {}
     if taxa:
         groups["taxon"] = files.read_taxa(spark, taxa, asvs)
-    if tree:
-        # tips may have "-" for ";": known names are translated, not every "-"
-        known = asvs.select("asv_id", F.replace("asv_id", F.lit(";"), F.lit("-")).alias("name"))
-        tips = trees.cut(trees.read_tree(spark, tree), divergence).select("name", F.col("clade").cast("string").alias("group_id"))
-        groups["clade"] = tips.join(known, "name", "left").select("group_id", F.coalesce("asv_id", "name").alias("asv_id"))
-    elif want_clades:
-        if not files.is_aligned(asvs.select("asv_ord", F.col("aligned_seq").alias("seq"))):
-            raise files.FormatError("clades need aligned sequences or a tree")
-        own, _ = linkage.linkage(asvs.select("asv_ord", F.col("aligned_seq").alias("seq")), divergence, model)
-        groups["clade"] = asvs.join(own, "asv_ord").select(F.col("clade").cast("string").alias("group_id"), "asv_id")
+    if tree or want_clades:
+
+        def made() -> DataFrame:
+            if tree:
+                # tips may have "-" for ";": known names are translated, not every "-"
+                known = asvs.select("asv_id", F.replace("asv_id", F.lit(";"), F.lit("-")).alias("name"))
+                tips = trees.cut(trees.read_tree(spark, tree), divergence).select("name", F.col("clade").cast("string").alias("group_id"))
+                return tips.join(known, "name", "left").select("group_id", F.coalesce("asv_id", "name").alias("asv_id"))
+            if not files.is_aligned(asvs.select("asv_ord", F.col("aligned_seq").alias("seq"))):
+                raise files.FormatError("clades need aligned sequences or a tree")
+            own, _ = linkage.linkage(asvs.select("asv_ord", F.col("aligned_seq").alias("seq")), divergence, model)
+            return asvs.join(own, "asv_ord").select(F.col("clade").cast("string").alias("group_id"), "asv_id")
+
+        if keep:
+            stamp = {"asvs": resume.digest(spark, asv_path), "tree": tree and resume.digest(spark, tree), "divergence": divergence, "model": None if tree else model}
+            groups["clade"] = resume.resumed(spark, keep, "clades", stamp, made)
+        else:
+            groups["clade"] = made()
     return Inputs(asvs, counts, groups)
 
 

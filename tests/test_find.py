@@ -98,3 +98,26 @@ def test_command_line(spark, folder, tmp_path):
     assert spark.read.text(str(tmp_path / "tr/fail")).filter("value like '>%'").count() == 2
     cli.main(["length", "--asvs", str(d / "asvs.fasta"), "--minimum", "50", "--output", str(tmp_path / "len")], spark)
     assert spark.read.text(str(tmp_path / "len/fail")).filter("value like '>%'").count() == 1
+
+
+def test_resuming(spark, folder, tmp_path, monkeypatch):
+    """Controls and clades of a run are read by the next; a changed option or input isn't."""
+    d, *_ = folder
+    made = []
+    for module, name in ((jobs, "find_controls"), (jobs.linkage, "linkage")):
+        monkeypatch.setattr(module, name, lambda *a, own=getattr(module, name), n=name, **k: made.append(n) or own(*a, **k))
+    width = "".join(line for line in (d / "asvs.fasta").read_text())
+    rows = [r.partition("\n") for r in width.split(">")[1:]]
+    (tmp_path / "aligned.fasta").write_text("".join(f">{h}\n{b.replace(chr(10), '').ljust(100, '-')}\n" for h, _, b in rows))
+    (tmp_path / "specs.txt").write_text("[library|clade; p; 0.05,0.1]")
+
+    def run(out, *more):
+        made.clear()
+        cli.main(["find", "--asvs", str(tmp_path / "aligned.fasta"), "--readmap", str(d / "counts.tsv"), "--specification", str(tmp_path / "specs.txt"), "--references", str(d / "refs.fasta"), "--minimum", "80", "--maximum", "100", "--frame", "2", "--keep", str(tmp_path / "keep"), "--output", str(tmp_path / out), *more], spark)
+        return sorted(made), sorted(map(tuple, spark.read.csv(str(tmp_path / out / "results"), header=True).collect()))
+
+    first = run("a")
+    assert first[0] == ["find_controls", "linkage"]
+    assert run("b") == ([], first[1])
+    assert run("c", "--divergence", "0.1")[0] == ["linkage"]
+    assert run("e", "--least-match", "70")[0] == ["find_controls"]
