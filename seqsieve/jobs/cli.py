@@ -44,7 +44,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--keep", help="a folder where clades and controls are kept, and taken from if inputs and options are the same")
         if mode == "find":
             p.add_argument("--specification", required=True, help="file")
-            p.add_argument("--references", required=True)
+            known = p.add_mutually_exclusive_group(required=True)
+            known.add_argument("--references")
+            known.add_argument("--controls", help="lines of reason and sequence, as find writes them, in place of looking for controls")
             p.add_argument("--least-match", type=int)
             p.add_argument("--ignore-ambiguous", action="store_true")
             p.add_argument("--metric", default="accuracy", choices=("accuracy", "precision", "recall"))
@@ -88,28 +90,30 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         text = a.store.endswith((".tsv", ".txt", ".gz"))
         store = select.store_of_ids(files.read_store(spark, a.store), asvs) if text else spark.read.parquet(a.store)
         kept = jobs.dump_cached(asvs, store, a.index or [], spark.read.parquet(a.hashes) if a.hashes else None)
-        lines = kept.select("resultindex", "asv_ord", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value"))
-        lines.sort("resultindex", "asv_ord").select("resultindex", "value").write.mode(mode).partitionBy("resultindex").text(a.output)
+        files.write_result_sets(kept, a.output, mode)
         return
     inputs = jobs.load(spark, a.asvs, a.readmap, a.libraries, a.taxa, a.tree, a.divergence, a.model, "clade" in text, a.keep)
     if a.mode == "dump":
         files.fasta_lines(jobs.dump_spec(inputs, a.specification or [], a.anyfail)).write.mode(mode).text(a.output)
         return
-    refs = files.read_fasta(spark, a.references).select(F.col("asv_id").alias("ref_id"), F.upper("seq").alias("ref_seq"))
-    bounds = length_bounds(**_lengths(a))
-    options = (bounds, a.table, a.frame, a.confidence, a.least_stops, a.least_match, a.ignore_ambiguous, a.expected, a.by_codon)
-    find_them = lambda: jobs.find_controls(inputs, refs, *options)
-    if a.keep:
-        # which of several sequences stands for a reference depends on the counts
-        stamp = {"options": options, "inputs": [resume.digest(spark, x) for x in (a.asvs, a.references, *([a.readmap] if a.readmap else sorted(a.libraries)))]}
-        tagged = resume.resumed(spark, a.keep, "controls", stamp, find_them)
+    if a.controls:
+        tagged = files.read_controls(spark, a.controls)
     else:
-        tagged = find_them()
+        refs = files.read_fasta(spark, a.references).select(F.col("asv_id").alias("ref_id"), F.upper("seq").alias("ref_seq"))
+        bounds = length_bounds(**_lengths(a))
+        options = (bounds, a.table, a.frame, a.confidence, a.least_stops, a.least_match, a.ignore_ambiguous, a.expected, a.by_codon)
+        find_them = lambda: jobs.find_controls(inputs, refs, *options)
+        if a.keep:
+            # which of several sequences stands for a reference depends on the counts
+            stamp = {"options": options, "inputs": [resume.digest(spark, x) for x in (a.asvs, a.references, *([a.readmap] if a.readmap else sorted(a.libraries)))]}
+            tagged = resume.resumed(spark, a.keep, "controls", stamp, find_them)
+        else:
+            tagged = find_them()
     results, scored, grid = jobs.find(inputs, tagged, text, a.anyfail)
     results = results.cache()
     results.orderBy("resultindex").write.mode(mode).csv(f"{a.output}/results", header=True)
     select.hash_store(results).orderBy("resultindex").write.mode(mode).parquet(f"{a.output}/hashes")
-    tagged.write.mode(mode).csv(f"{a.output}/controls", sep="\t")
+    tagged.select("reason", "asv_id").write.mode(mode).csv(f"{a.output}/controls", sep="\t")
     metric = f"{a.metric}_score"
     top = select.top_proportion(results, metric, a.top) if a.top else select.best_sets(results, metric)
     indices = [r.resultindex for r in select.unique_compositions(top).collect()]  # the grid's size at most

@@ -141,7 +141,8 @@ def read_taxa(spark: SparkSession, path: str, asvs: DataFrame | None = None) ->
 
 
 def read_controls(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("reason string, asv_id string").option("sep", "\t").csv(path)
+    """(asv_id, reason) from tab-separated lines reason, sequence (S-11)."""
+    return spark.read.schema("reason string, asv_id string").option("sep", "\t").csv(path).select("asv_id", "reason")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -161,13 +162,9 @@ def fasta_lines(asvs: DataFrame) -> DataFrame:
     return asvs.orderBy("asv_ord").select(F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value"))
 
 
-def write_fasta(asvs: DataFrame, path: str) -> None:
-    fasta_lines(asvs).write.text(path)
-
-
-def write_result_sets(rows: DataFrame, path: str) -> None:
+def write_result_sets(rows: DataFrame, path: str, mode: str = "error") -> None:
     """A folder of FASTA for each resultindex (K-4)."""
-    rows.select("resultindex", "asv_ord", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value")).sortWithinPartitions("resultindex", "asv_ord").select("resultindex", "value").write.partitionBy("resultindex").text(path)
+    rows.select("resultindex", "asv_ord", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value")).sort("resultindex", "asv_ord").select("resultindex", "value").write.mode(mode).partitionBy("resultindex").text(path)
 
 
 def libraries_without_hits(reads: DataFrame, matched: DataFrame) -> DataFrame:

@@ -87,6 +87,9 @@ def test_command_line(spark, folder, tmp_path):
     cli.main(["find", *common, "--specification", str(d / "specs.txt"), "--references", str(d / "refs.fasta"), "--minimum", "80", "--maximum", "100", "--frame", "2", "--output", str(tmp_path / "out")], spark)
     assert spark.read.csv(str(tmp_path / "out/results"), header=True).count() == 9
     assert spark.read.parquet(str(tmp_path / "out/store")).count() >= 1
+    cli.main(["find", *common, "--specification", str(d / "specs.txt"), "--controls", str(tmp_path / "out/controls"), "--minimum", "80", "--output", str(tmp_path / "again")], spark)
+    results = lambda at: sorted(map(tuple, spark.read.csv(str(tmp_path / at / "results"), header=True).collect()))
+    assert results("out") == results("again")
     rows = spark.read.parquet(str(tmp_path / "out/hashes")).collect()
     index = spark.read.parquet(str(tmp_path / "out/store")).first().resultindex
     twin = max(r.resultindex for r in rows if r.rejects_hash == next(x.rejects_hash for x in rows if x.resultindex == index))
