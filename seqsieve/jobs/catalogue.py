@@ -549,3 +549,23 @@ def analysis_best_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of the sets within error rates, with a description (F-11, T-6, J-9)."""
     rows = select.best_sets(select.within_rates(sweep_additive(spark, sf_dir), 0.9, 0.9), "precision_score")
     return select.describe_terms(rows, {"library_n": "reads by library", "library_p": "share by library"}).select("resultindex", "term", "precision_score", "description")
+
+
+@registered(_with("counts", "asvs") + """, c AS (SELECT library, asv_id, n, n::DOUBLE / sum(n) OVER (PARTITION BY library) AS p FROM counts),
+    b AS (SELECT library, p_brand, asv_id, n::DOUBLE / sum(n) OVER (PARTITION BY library, p_brand) AS p FROM counts JOIN part ON asv_id = p_partkey),
+    x AS (SELECT asv_id, max(n)::DOUBLE AS score_n, max(p) AS score_p FROM c GROUP BY 1), y AS (SELECT asv_id, max(p) AS score_clade FROM b GROUP BY 1)
+    SELECT asv_id, score_n, score_p, score_clade FROM x LEFT JOIN y USING (asv_id)""")
+def running_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts as a stream of files; scores follow each batch, so that the last ones are those of all counts (§2.11)."""
+    from ..specs import Spec
+    from ..streaming.scores import RunningScores
+
+    rows = p.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("library"), F.col("l_partkey").alias("asv_id"), F.col("l_quantity").cast("long").alias("n"))
+    path = p.folder(spark, "arriving")
+    rows.repartition(3).write.parquet(path)
+    specs = [Spec("library", (), "n"), Spec("library", (), "p"), Spec("library", ("clade",), "p")]
+    running = RunningScores(spark, p.folder(spark, "running"), p.memberships(spark, sf_dir), specs, slots=8, every=2)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = stream.writeStream.foreachBatch(running.absorb).option("checkpointLocation", p.folder(spark, "offsets")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return running.scores().withColumnsRenamed(dict(zip((s.name for s in specs), ("score_n", "score_p", "score_clade"), strict=True)))
