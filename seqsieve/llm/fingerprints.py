@@ -95,44 +95,50 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
-    """Rows (bucket, extra, key, text), sorted: buckets are ranges of the key, descending, each whole in one partition. An
+    """Rows (bucket, extra, key, text), sorted: buckets are ranges of the key, descending, each whole in one partition. A key (or
+    null) that fills several ranges is a range by itself, cut further by the hash of the text, in whose order its rows stand. An
     extra row at a bucket's end is the first of the next bucket (after the last: of the first), so that each row is followed
-    by the next document. The driver holds the ranges' bounds only, four a partition."""
+    by the next document. The driver holds the ranges' bounds only, some eight a partition."""
     wanted = 4 * shuffle_partitions(docs.sparkSession)
-    picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    cut = picked.agg(F.percentile_approx("key", [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0] if wanted > 1 else []
-    bounds = np.unique(np.array(cut or [], np.int64))
-
-    def bucket(col: pa.Array) -> np.ndarray:
-        """0 for the largest keys; nulls after the smallest."""
-        known = col.is_valid().to_numpy(zero_copy_only=False)
-        keys = col.fill_null(0).to_numpy(zero_copy_only=False)
-        return np.where(known, len(bounds) - np.searchsorted(bounds, keys), len(bounds) + 1).astype(np.int32)
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("h", h)
+    shares = [i / wanted for i in range(1, wanted)] or [0.5]
+    cut, rows, nulls = picked.agg(F.percentile_approx("key", shares, 10 * wanted), F.count("*"), F.count_if(F.col("key").isNull())).first()
+    bounds, times = np.unique(np.array(cut or [], np.int64), return_counts=True)
+    alone = bounds[(times > 1) & (bounds > np.iinfo(np.int64).min)]
+    parts = dict(zip(bounds.tolist(), times.tolist(), strict=True))
+    bounds = np.unique(np.concatenate((bounds, alone - 1)))
+    # buckets of each range, the largest keys first, those of null last; a range ends with its bound
+    many = [1, *(parts[b] + 1 if b in alone else 1 for b in reversed(bounds.tolist())), 1 + wanted * nulls // max(1, rows)]
+    many, first = np.array(many, np.uint64), np.concatenate(([0], np.cumsum(many)[:-1])).astype(np.int64)
+
+    def bucket(keys: pa.Array, hashes: pa.Array) -> np.ndarray:
+        known = keys.is_valid().to_numpy(zero_copy_only=False)
+        at = np.where(known, len(bounds) - np.searchsorted(bounds, keys.fill_null(0).to_numpy(zero_copy_only=False)), len(bounds) + 1)
+        high = (hashes.to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return (first[at] + (high * many[at] >> np.uint64(32)).astype(np.int64)).astype(np.int32)
 
     def only_buckets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bucket(b.column(0))), b.column(0)], names=["bucket", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket(b.column(0), b.column(1))), b.column(0), b.column(1)], names=["bucket", "key", "h"])
 
-    heads = picked.select("key").mapInArrow(only_buckets, "bucket int, key long").groupBy("bucket").agg(F.max("key").alias("key")).collect()
-    heads = sorted((r.bucket, r.key) for r in heads)
-    before = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}  # the first key of a bucket goes to the one before it too
+    heads = picked.select("key", "h").mapInArrow(only_buckets, "bucket int, key long, h long")
+    heads = sorted((r.bucket, (r.head.key, ~r.head.h)) for r in heads.groupBy("bucket").agg(F.max(F.struct("key", F.expr("~h").alias("h"))).alias("head")).collect())
+    before = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}  # the first row of a bucket goes to the one before it too
 
     def deal(batches):
-        at = np.array(sorted(k for k in before if k is not None), np.int64)
+        at = np.array(sorted(k for _, k in before), np.int64)  # hashes of the first rows
         for b in batches:
-            own = bucket(b.column(0))
+            own = bucket(b.column(0), b.column(2))
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), bool)), b.column(0), b.column(1)], names=["bucket", "extra", "key", "text"])
-            keys = b.column(0).to_pylist()
-            more = [i for i, k in enumerate(keys) if k is None and None in before]
-            if len(at):
-                known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
-                more += np.flatnonzero(known & np.isin(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), at)).tolist()
+            likely = np.flatnonzero(np.isin(b.column(2).to_numpy(zero_copy_only=False), at)).tolist()
+            more = [(i, before[k]) for i in likely if (k := (b.column(0)[i].as_py(), b.column(2)[i].as_py())) in before]
             if more:
-                take = pa.array(more, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([before[keys[i]] for i in more], pa.int32()), pa.array([True] * len(more)), b.column(0).take(take), b.column(1).take(take)], names=["bucket", "extra", "key", "text"])
+                take = pa.array([i for i, _ in more], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x for _, x in more], pa.int32()), pa.array([True] * len(more)), b.column(0).take(take), b.column(1).take(take)], names=["bucket", "extra", "key", "text"])
 
     dealt = picked.mapInArrow(deal, "bucket int, extra boolean, key long, text string")
-    return dealt.repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "extra", F.col("key").desc_nulls_last(), F.coalesce("text", F.lit(""))), len(heads)
+    return dealt.repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "extra", F.col("key").desc_nulls_last(), h, F.coalesce("text", F.lit(""))), len(heads)
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,7 +146,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     A fingerprint lists the digests of the text's chunks, each with the bytes it makes up (of repeated chunks the sum);
     likeness is the share of the text's bytes whose chunks the other fingerprint has too. The next document has the next
-    smaller key (null keys last, equal keys in the order of their texts; after the last the first); the edited text has its
+    smaller key (null keys last, equal keys in the order of their texts' hashes; after the last the first); the edited text has its
     last third replaced by the start of the next. Null texts count as empty, whose fingerprint is empty. Other columns don't
     matter; an empty table gives none. Rows are streamed: a task holds a few MB of texts and, to find the next one, one more.
     """
