@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,15 +15,34 @@ from .common import documents, pieces, stored
 
 END = 65535
 BLOCK = 1 << 17  # bytes
+#: Blocks that a task reads in a row: 64 MB.
+SPAN = 512
 DTYPE = "<u2"
 
 
-def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks (shard, block, payload) of flat binary token files, each file a shard; by Spark's readers, so in any store.
-    A file may have 2 GB, as Spark reads it whole before it is cut; `block` is a multiple of the identifiers' size."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("shard"), "content", F.length("content").alias("n"))
-    cut = files.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / block).cast("int") - 1, F.lit(0)))))
-    return cut.select("shard", F.col("block").cast("long").alias("block"), F.substring("content", F.col("block") * block + 1, F.lit(block)).alias("payload"))
+def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, span: int = SPAN) -> DataFrame:
+    """Blocks (shard, block, payload) of flat binary token files of any size, each file a shard. Spark lists the files and their
+    sizes; ranges of `span` blocks are dealt to tasks, which read theirs and no other, a block at a time. `block` is a multiple of
+    the identifiers' size. Files may be in any store that pyarrow opens by its address (local, HDFS, S3, GCS); an empty
+    file has no block. Files mustn't change while they are read."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("shard"), F.col("length").alias("n")).filter("n > 0")
+    ranges = files.withColumn("range", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / (block * span)).cast("long"))))
+    tasks = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism))
+
+    def run(batches):
+        for batch in batches:
+            for shard, n, nth in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "range")), strict=True):
+                if shard.startswith("file:"):
+                    store, at = fs.LocalFileSystem(), "/" + shard[5:].lstrip("/")
+                else:
+                    store, at = fs.FileSystem.from_uri(shard)
+                with store.open_input_file(at) as f:
+                    for b in range(nth * span, min((nth + 1) * span, -(-n // block))):
+                        raw = f.read_at(min(block, n - b * block), b * block)
+                        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([b], pa.int64()), pa.array([raw], pa.binary())], names=["shard", "block", "payload"])
+
+    # a fixed number of tasks, as few bytes tell of many to read
+    return ranges.repartition(tasks, "shard", "range").mapInArrow(run, "shard string, block long, payload binary")
 
 
 def scan_blocks(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataFrame:
