@@ -143,26 +143,35 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between longs: rows (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps, each a minimum by node (combined before the shuffle) and an equi-join,
-    until the edges stop changing; every round is stored. Self-loops keep a node that has no other edge.
+    until the edges are a forest of stars; every round is stored. Self-loops keep a node that has no other edge.
     """
     spark = edges.sparkSession
-    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    nodes = e
+    nodes = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    e = nodes.filter("u != v")
 
     def turn(e: DataFrame) -> DataFrame:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u != v")
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         star = _least_neighbour(large)
         return star.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(star.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
-    while True:
-        new = settled(spark, "edges", lambda: turn(e))  # noqa: B023
-        # a forest of stars: no node is both a leaf and a centre, and no leaf has two centres
-        leaf = new.groupBy("u").agg(F.count("*").alias("n"))
-        deep = leaf.filter("n > 1").limit(1).union(leaf.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1))
-        done = deep.isEmpty()
-        e = new
-        if done:
-            break
+    def stars(e: DataFrame) -> bool:
+        """Whether no node is both a leaf and a centre, and no leaf has two centres."""
+        leaf = e.groupBy("u").agg(F.count("*").alias("n"))
+        return leaf.filter("n > 1").limit(1).union(leaf.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1)).isEmpty()
+
+    while not stars(e):
+        e = settled(spark, "edges", lambda: turn(e))  # noqa: B023
     every = nodes.select(F.col("u").alias("node")).union(nodes.select(F.col("v").alias("node"))).distinct()
     return every.join(e.withColumnsRenamed({"u": "node", "v": "component"}), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def grown(parts: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The components (node, component), stored, that components() has given, after more edges: these are led to the components
+    of their ends, so that the rounds run over the new edges only. Nodes that parts hasn't count as components of their own."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    led = edges.select(a, b).join(of(a), a, "left").join(of(b), b, "left")
+    moved = stored(components(led.select(F.coalesce(f"of_{a}", a).alias("a"), F.coalesce(f"of_{b}", b).alias("b"))), "moved")
+    old = parts.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    fresh = moved.join(parts.select("node"), "node", "left_anti")
+    return stored(old.select("node", F.coalesce("to", "component").alias("component")).union(fresh.select("node", "component")), "parts")

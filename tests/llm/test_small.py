@@ -59,6 +59,10 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.component for r in common.components(df).collect()} == {x: root(x) for x in parent}
     assert common.components(df.filter("false")).count() == 0
+    for before in ("false", "a % 3 = 0", "true"):  # components that grow by the rest are those of all edges
+        parts = common.stored(common.components(df.filter(before)), "parts")
+        got = {r.node: r.component for r in common.grown(parts, df.filter(f"not ({before})")).collect()}
+        assert got == {x: root(x) for x in parent}
 
 
 # 1
