@@ -6,9 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
+from .rounds import stored
 
-#: A window's bases, at most; a seed is two thirds of it.
-WINDOW = 24
+#: A window's bases, at most; a seed is two thirds of it. References with N are looked up by windows of as few as LEAST_WINDOW.
+WINDOW, LEAST_WINDOW = 24, 8
+
+
+def _seed(window: int) -> int:
+    return max(1, 2 * window // 3)
+
+
+def _clean_run(ref: Column, least: int) -> Column:
+    """The bases without N that stand together in any stretch of `least` of ref, at least."""
+    longest = lambda i: F.array_max(F.transform(F.split(F.substring(ref, i, F.lit(least)), "N+"), lambda x: F.length(x)))
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.length(ref) - least + 1), longest))
 
 
 def _seeds(seq: Column, start: Column, stop: Column, seed: int, window: int) -> Column:
@@ -36,28 +47,38 @@ def reference_hits(asvs: DataFrame, references: DataFrame, least_length: int) ->
     once. A match of least_length bases holds a whole block of the sequence, when that is cut in blocks of half as many. Of each
     block's minimizers only the one that the references have least often is looked up, so that what all references share, as
     simple or conserved stretches, is hardly ever joined by. References with N may lack it: they are looked up by all minimizers
-    of the sequence, of which a match has one where the N leave room for a window. Where they don't, all sequences are compared."""
+    of the sequence, of windows as long as the N leave room for in any match; a match then has one of them. Where that is under
+    LEAST_WINDOW, all sequences are compared."""
     window = max(1, min(WINDOW, least_length // 2))
-    seed, block = max(1, 2 * window // 3), max(1, least_length // 2)
+    seed, block = _seed(window), max(1, least_length // 2)
     asvs = asvs.select("asv_id", "seq").filter(F.length("seq") >= least_length).distinct()
     both = references.select("ref_id", "ref_seq", F.lit(False).alias("turned")).union(references.select("ref_id", reverse_complement(F.col("ref_seq")), F.lit(True)))
     both = both.filter(F.length("ref_seq") >= least_length).distinct()
-    unknown = F.length("ref_seq") - F.length(F.replace("ref_seq", F.lit("N"), F.lit("")))
-    runs = F.size(F.split("ref_seq", "N+")) - 1
-    both = both.withColumn("kind", F.when(unknown == 0, "clean").when((F.lit(least_length) - unknown) >= window * (runs + 1), "some").otherwise("poor"))
-    known = both.filter("kind != 'poor'").withColumn("s", F.explode(_seeds(F.col("ref_seq"), F.lit(1), F.length("ref_seq") - window + 1, seed, window)))
-    known = known.select("ref_id", "ref_seq", "turned", "kind", F.col("s.hash").alias("hash"), F.col("s.at").alias("at")).filter(~F.contains(F.substring("ref_seq", F.col("at"), F.lit(seed)), F.lit("N")))
+    clean = ~F.contains("ref_seq", F.lit("N"))
+    both = both.withColumn("room", F.when(clean, F.lit(window)).otherwise(F.least(_clean_run(F.col("ref_seq"), least_length), F.lit(window))))
+    both = stored(both.withColumn("kind", F.when(clean, "clean").when(F.col("room") >= min(LEAST_WINDOW, window), "some").otherwise("poor")), "references")
+    rooms = [r.room for r in both.filter("kind = 'some'").select("room").distinct().collect()]  # WINDOW numbers at most
+
+    def known(kind: str, window: int) -> DataFrame:
+        """The minimizers of the references of a kind, those with N of a window's room."""
+        seed = _seed(window)
+        own = both.filter((F.col("kind") == kind) & (F.col("room") == window)).withColumn("s", F.explode(_seeds(F.col("ref_seq"), F.lit(1), F.length("ref_seq") - window + 1, seed, window)))
+        own = own.select("ref_id", "ref_seq", "turned", F.col("s.hash").alias("hash"), F.col("s.at").alias("at"))
+        return own.filter(~F.contains(F.substring("ref_seq", F.col("at"), F.lit(seed)), F.lit("N")))
+
     # clean references: the rarest minimizer of each block
     starts = F.sequence(F.lit(1), F.length("seq") - block + 1, F.lit(block))
     blocks = asvs.select("asv_id", "seq", F.explode(F.when(F.length("seq") >= block, starts)).alias("block"))
     own = blocks.select("asv_id", "seq", "block", F.explode(_seeds(F.col("seq"), F.col("block"), F.col("block") + (block - window), seed, window)).alias("s"))
     own = own.select("asv_id", "seq", "block", F.col("s.hash").alias("hash"), F.col("s.at").alias("own_at"))
-    counts = known.filter("kind = 'clean'").groupBy("hash").agg(F.count("*").alias("n"))
+    counts = known("clean", window).groupBy("hash").agg(F.count("*").alias("n"))
     rarest = own.join(counts, "hash", "left").groupBy("asv_id", "seq", "block").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "own_at")).alias("s")).filter("s.n > 0")
-    looked = rarest.select("asv_id", "seq", "s.hash", "s.own_at").join(known.filter("kind = 'clean'"), "hash")
+    looked = rarest.select("asv_id", "seq", "s.hash", "s.own_at").join(known("clean", window), "hash").select("asv_id", "seq", "ref_id", "ref_seq", "turned", "at", "own_at")
     # references with N: all minimizers of the sequence
-    whole = asvs.select("asv_id", "seq", F.explode(_seeds(F.col("seq"), F.lit(1), F.length("seq") - window + 1, seed, window)).alias("s"))
-    looked = looked.select("asv_id", "seq", "ref_id", "ref_seq", "turned", "at", "own_at").union(whole.select("asv_id", "seq", F.col("s.hash").alias("hash"), F.col("s.at").alias("own_at")).join(known.filter("kind = 'some'"), "hash").select("asv_id", "seq", "ref_id", "ref_seq", "turned", "at", "own_at"))
+    for room in sorted(rooms):
+        whole = asvs.select("asv_id", "seq", F.explode(_seeds(F.col("seq"), F.lit(1), F.length("seq") - room + 1, _seed(room), room)).alias("s"))
+        whole = whole.select("asv_id", "seq", F.col("s.hash").alias("hash"), F.col("s.at").alias("own_at"))
+        looked = looked.union(whole.join(known("some", room), "hash").select("asv_id", "seq", "ref_id", "ref_seq", "turned", "at", "own_at"))
     shift = (F.col("at") - F.col("own_at")).alias("shift")
     hits = looked.select("asv_id", "seq", "ref_id", "ref_seq", shift).filter(_fits(F.col("seq"), F.col("ref_seq"), F.col("shift"), least_length)).select("asv_id", "ref_id")
     # references that are N nearly everywhere: each with all sequences, dealt out in a grid

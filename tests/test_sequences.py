@@ -121,3 +121,14 @@ def test_semiperfect(spark, least):
     hits = refmatch.reference_hits(left, right, least).collect()
     assert len(hits) == len(set(hits)) and set(map(tuple, hits)) == brute_hits(asvs, [r for r in refs if r[1]], least)
     assert refmatch.reference_hits(left.filter("false"), right, least).collect() == []
+
+
+def test_references_with_n_are_looked_up(spark):
+    """A run of N in the middle leaves room for shorter windows: such references needn't be compared with all sequences."""
+    rnd = random.Random(11)
+    asvs = [(f"a{i}", "".join(rnd.choices("ACGT", k=58 + i % 7))) for i in range(60)]
+    refs = [(f"r{i}", s[:20] + "NNN" + s[23:]) for i, (_, s) in enumerate(asvs) if i % 3 == 0]
+    left, right = spark.createDataFrame(asvs, "asv_id string, seq string"), spark.createDataFrame(refs, "ref_id string, ref_seq string")
+    rooms = right.select(refmatch._clean_run(F.col("ref_seq"), 46).alias("room")).collect()
+    assert all(refmatch.LEAST_WINDOW <= r.room == 23 for r in rooms)
+    assert {tuple(r) for r in refmatch.reference_hits(left, right, 46).collect()} == brute_hits(asvs, refs, 46)
