@@ -129,3 +129,20 @@ def test_linkage_order():
             a, b = (next(g for g in groups if g[0] == k) for k in m[:2])
             groups = sorted([sorted(a + b), *(g for g in groups if g is not a and g is not b)])
         assert all(label[i] == g[0] for g in groups for i in g)
+
+
+def test_whole_tree_goes_on_from_components(spark):
+    """More sequences than a task takes: first by components, then by sums over clusters. The tree is the same; copies join one by one."""
+    rnd, rows = random.Random(8), []
+    for _ in range(3):
+        base = "".join(rnd.choices("ACGT", k=150))
+        for _ in range(7):
+            s = list(base)
+            for at in rnd.sample(range(150), rnd.randint(1, 9)):
+                s[at] = rnd.choice("ACGT")
+            rows.append((len(rows), "".join(s)))
+    rows += [(len(rows) + i, rows[3][1]) for i in range(2)]
+    df = spark.createDataFrame(rows, "asv_ord long, seq string").repartition(2)
+    trees_of = [sorted((r.left, r.right, r["size"], round(r.height, 9)) for r in linkage.linkage(df, float("inf"), in_task=n)[1].collect()) for n in (100, 10)]
+    assert len(trees_of[0]) == len(rows) - 1 and trees_of[0] == trees_of[1]
+    assert [m for m in trees_of[1] if m[1] in (21, 22)] == [(3, 21, 2, 0.0), (3, 22, 3, 0.0)]
