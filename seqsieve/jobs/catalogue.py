@@ -557,14 +557,15 @@ def analysis_best_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts as a stream of files; scores follow each batch, so that the last ones are those of all counts (§2.11)."""
     from ..specs import Spec
+    from ..streaming.counts import dealt_files
     from ..streaming.scores import RunningScores
 
     rows = p.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("library"), F.col("l_partkey").alias("asv_id"), F.col("l_quantity").cast("long").alias("n"))
     path = p.folder(spark, "arriving")
-    rows.repartition(3).write.parquet(path)
+    each = dealt_files(rows, path, 3)
     specs = [Spec("library", (), "n"), Spec("library", (), "p"), Spec("library", ("clade",), "p")]
     running = RunningScores(spark, p.folder(spark, "running"), p.memberships(spark, sf_dir), specs, slots=8, every=2)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
     query = stream.writeStream.foreachBatch(running.absorb).option("checkpointLocation", p.folder(spark, "offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
     return running.scores().withColumnsRenamed(dict(zip((s.name for s in specs), ("score_n", "score_p", "score_clade"), strict=True)))

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqsieve.operators.binning import wide_scores
 from seqsieve.specs import Spec
+from seqsieve.streaming.counts import dealt_files
 from seqsieve.streaming.scores import RunningScores
 
 SPECS = [Spec("library", (), "n"), Spec("library", ("clade",), "p"), Spec("total", (), "p")]
@@ -37,3 +39,14 @@ def test_scores_follow_batches(spark, tmp_path, anyfail):
         if nth in (0, 2, 3):
             got = {r[0]: tuple(r)[1:] for r in running.scores().select("asv_id", *(f"`{s.name}`" for s in SPECS)).collect()}
             assert got == {r[0]: tuple(r)[1:] for r in want.select("asv_id", *(f"`{s.name}`" for s in SPECS)).collect()}
+
+
+@pytest.mark.parametrize(("n", "files", "each"), [(1000, 20, 7), (90, 3, 1)])
+def test_batches_are_dealt_over_files(spark, tmp_path, n, files, each):
+    """More rows make more files of a batch, not larger ones."""
+    path = str(tmp_path / "arriving")
+    assert dealt_files(spark.range(n), path, 3, most=50) == each
+    rows = spark.read.parquet(path)
+    sizes = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == files and sum(sizes) == n and max(sizes) <= 60
+    assert sorted(r.id for r in rows.collect()) == list(range(n))
