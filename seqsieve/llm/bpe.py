@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import documents, pieces
+from .common import KEPT, documents, pieces
 
 WORD_END = "</w>"
 INNER, LAST = -1, -2
@@ -39,8 +39,8 @@ class Automaton:
     (`cut[u][v] = r`); `allows(a, b)` reads off whether b's arc leaves a's state, and remembers it as the transition table.
     """
 
-    #: Entries of the transition table that are kept at a time, about 200 MB.
-    MOST_PAIRS = 2_000_000
+    #: Entries of the transition table that are kept at a time, about 25 MB.
+    MOST_PAIRS = 250_000
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         letters = byte_letters()
@@ -136,14 +136,20 @@ class Automaton:
 
 
 class _Words(dict):
-    """Token ids by word, made when first asked for. Cleared by its owner."""
+    """Token ids by word, made when first asked for. Of each `most` words those that are asked for again among the next ones
+    stay, so that a worker holds 2 * most of them at a time, however many it has read."""
 
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
+    def __init__(self, automaton: Automaton, most: int):
+        self.automaton, self.most, self.older = automaton, most, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.automaton.encode(word.encode()))
+        ids = self.older.get(word)
+        if ids is None:
+            ids = tuple(self.automaton.encode(word.encode()))
         if len(word) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -160,7 +166,7 @@ def latin_pattern(pattern: str) -> re.Pattern:
 class Tokenizer:
     """Normalisation, pre-split, special tokens and labels of a word-end BPE file (the JSON format of the tokenizers library)."""
 
-    MOST_CACHED = 900_000  # about 250 MB
+    MOST_CACHED = 50_000  # and as many older ones: about 30 MB
 
     def __init__(self, text: str):
         spec = json.loads(text)
@@ -173,7 +179,7 @@ class Tokenizer:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
         self.latin_words = latin_pattern(pattern).findall
-        self.cache = _Words(self.automaton)
+        self.cache = _Words(self.automaton, self.MOST_CACHED)
 
     def _plain(self, text: str) -> list[int]:
         try:
@@ -182,8 +188,6 @@ class Tokenizer:
         except UnicodeEncodeError:
             # one letter at a time is lower-cased: no final sigma
             words = self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        if len(self.cache) >= self.MOST_CACHED:
-            self.cache.clear()
         return list(chain.from_iterable(map(self.cache.__getitem__, words)))
 
     def encode(self, text: str) -> list[int]:
@@ -206,16 +210,12 @@ class Tokenizer:
             return " ".join([labels[i] for i in ids if i in labels])
 
 
-_LOADED: dict[str, Tokenizer] = {}
-
-
 def _tokenizer(shared) -> Tokenizer:
-    """One per Python worker; shared is a broadcast (digest, text) of the vocabulary file."""
+    """One per Python worker, until another operator has texts there; shared is a broadcast (digest, text) of the vocabulary file."""
     digest, text = shared.value
-    if digest not in _LOADED:
-        _LOADED.clear()
-        _LOADED[digest] = Tokenizer(text)
-    return _LOADED[digest]
+    if KEPT.get("bpe", (None,))[0] != digest:
+        KEPT["bpe"] = digest, Tokenizer(text)
+    return KEPT["bpe"][1]
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -231,7 +231,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
     def run(batches):
         tok = _tokenizer(shared)
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, keeps="bpe"):
             ids, ends = [], [0]
             for x in batch.column(text).to_pylist():
                 ids.append(np.array(tok.encode(x or ""), np.int32))

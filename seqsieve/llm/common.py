@@ -107,8 +107,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], col: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `most` bytes of text each, whole rows always, so that memory stays bounded."""
+#: What an operator keeps in a Python worker for its next tasks, by the operator's name.
+KEPT: dict[str, object] = {}
+
+
+def pieces(batches: Iterator[pa.RecordBatch], col: str, most: int = 4 << 20, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `most` bytes of text each, whole rows always, so that memory stays bounded. What other
+    operators than `keeps` have kept in this worker is let go."""
+    for name in [x for x in KEPT if x != keeps]:
+        del KEPT[name]
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, total = 0, 0

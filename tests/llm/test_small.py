@@ -152,6 +152,25 @@ def test_bpe_is_the_librarys(docs, none, library):
     assert bpe.encode(none, path).count() == 0
 
 
+def test_bpe_keeps_a_bounded_number_of_words(library, monkeypatch):
+    monkeypatch.setattr(bpe.Tokenizer, "MOST_CACHED", 50)
+    tok, rnd = bpe.Tokenizer(open(bpe.default_vocabulary()).read()), random.Random(2)
+    for _ in range(20):
+        text = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(1, 4))) for _ in range(200))
+        assert tok.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert 0 < len(tok.cache) <= 50 and len(tok.cache.older) <= 50
+
+
+def test_workers_let_go_of_what_other_operators_keep(monkeypatch):
+    import pyarrow as pa
+
+    kept = {"bpe": 1}
+    monkeypatch.setattr(common, "KEPT", kept)
+    batch = pa.RecordBatch.from_pydict({"text": ["a", "b"]})
+    assert len(list(common.pieces(iter([batch]), "text", keeps="bpe"))) == 1 and kept == {"bpe": 1}
+    assert len(list(common.pieces(iter([batch]), "text"))) == 1 and kept == {}
+
+
 def test_bpe_words(library):
     tok, rnd = bpe.Tokenizer(open(bpe.default_vocabulary()).read()), random.Random(1)
     labels = sorted(tok.automaton.labels.values())
