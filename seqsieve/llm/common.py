@@ -139,6 +139,36 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bits of a bitmap for each key, and its bits at most (8 MB). The columns that marked() adds for itself.
+KEY_BITS, MOST_BITS = 16, 1 << 26
+MARK_COLUMNS = ("_mark", "_place", "_bucket", "_bits")
+
+
+def marked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df and _mark: true for each row whose key is one of keys (stored), and for few others. A bitmap of the keys' hashes is
+    broadcast, which is bounded however many they are, so that rows of texts needn't be shuffled to learn that most have no match."""
+    bits, wanted = 1 << 15, min(KEY_BITS * keys.count(), MOST_BITS)
+    while bits < wanted:
+        bits *= 2
+    place = (F.pmod(F.xxhash64(key), F.lit(bits)) + 1).alias("_place")
+    maps = keys.select(place).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    rows = df.select("*", place).withColumn("_bucket", F.bitmap_bucket_number("_place")).join(F.broadcast(stored(maps, "marks")), "_bucket", "left")
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_place) div 8 as int) + 1, 1)), 16, 10) as int)"
+    bit = F.expr(f"coalesce(shiftright({byte}, cast(bitmap_bit_position(_place) % 8 as int)) & 1, 0) = 1")
+    return rows.select(*df.columns, bit.alias("_mark"))
+
+
+def among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df that may have a match in keys (stored): all that have, and few others; for a join that follows."""
+    return marked(df, keys, key).filter("_mark").drop("_mark")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is none of keys (stored). Only those that may be one are shuffled to tell."""
+    rows = marked(df, keys, key)
+    return rows.filter("not _mark").drop("_mark").unionByName(rows.filter("_mark").drop("_mark").join(keys, key, "left_anti"))
+
+
 def _least_neighbour(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with m, the least v of each u. The minima (combined before the shuffle) are stored, so that the join is fed by
     plain shuffles and a node of many edges can be split."""

@@ -566,3 +566,19 @@ def test_word_streams(spark, docs, tmp_path):
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
     got = token_counts.token_counts(token_counts.read_token_files(spark, str(tmp_path / "a.bin"), block=4)).collect()
     assert sorted((r.ordinal, r.start, r.n_tokens) for r in got) == [(0, 0, 1), (1, 2, 2), (2, 5, 0), (3, 6, 1)]
+
+
+@pytest.mark.parametrize("most", [common.MOST_BITS, 1 << 15])
+def test_rows_without_a_match_are_not_shuffled(spark, monkeypatch, most):
+    """without() and among() give what joins give, for keys that are null, negative or missing too, with a full bitmap too."""
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rows = spark.range(40_000).selectExpr("case when id % 1000 = 7 then null else id - 5000 end as k", "id as n")
+    for keys in (rows.filter("k % 2 = 0").select("k"), rows.filter("k in (3, -4)").select("k"), rows.limit(0).select("k")):
+        keys = common.stored(keys, "keys")
+        want = sorted(r.n for r in rows.join(keys, "k", "left_anti").collect())
+        assert sorted(r.n for r in common.without(rows, keys, "k").collect()) == want
+        may = common.among(rows, keys, "k")
+        assert sorted(r.n for r in may.join(keys, "k", "left_semi").collect()) == sorted(r.n for r in rows.join(keys, "k", "left_semi").collect())
+        if most > 1 << 15:
+            assert may.count() <= keys.count() + 0.1 * rows.count()
+    assert may.columns == rows.columns and may.isEmpty()
