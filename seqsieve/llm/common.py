@@ -139,8 +139,9 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-#: Bits of a bitmap for each key, and its bits at most (8 MB). The columns that marked() adds for itself.
-KEY_BITS, MOST_BITS = 16, 1 << 26
+#: Bits of a bitmap for each key, and its bits at most (8 MB). Up to FEW keys need none, as Spark broadcasts such a list itself.
+#: The columns that marked() adds for itself.
+KEY_BITS, MOST_BITS, FEW = 16, 1 << 26, 1 << 14
 MARK_COLUMNS = ("_mark", "_place", "_bucket", "_bits")
 
 
@@ -160,11 +161,13 @@ def marked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of df that may have a match in keys (stored): all that have, and few others; for a join that follows."""
-    return marked(df, keys, key).filter("_mark").drop("_mark")
+    return marked(df, keys, key).filter("_mark").drop("_mark") if keys.count() > FEW else df
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of df whose key is none of keys (stored). Only those that may be one are shuffled to tell."""
+    if keys.count() <= FEW:
+        return df.join(keys, key, "left_anti")
     rows = marked(df, keys, key)
     return rows.filter("not _mark").drop("_mark").unionByName(rows.filter("_mark").drop("_mark").join(keys, key, "left_anti"))
 
