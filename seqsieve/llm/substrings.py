@@ -267,13 +267,13 @@ def open_strings(candidates: DataFrame, lengths: tuple[int, ...], level: int) ->
 
 def refine(candidates: DataFrame, lengths: tuple[int, ...], level: int, keep_first: bool, salts: int = 16) -> tuple[DataFrame, DataFrame]:
     """The marks of a level: (cid, again), the bits of runs, and (cid, starts), those of hot buckets, which are compared by an
-    aggregate over strings, joined again in `salts` parts each."""
+    aggregate over strings, joined again in `salts` parts each: never by a broadcast, as its size is told without the parts."""
     runs = repeated_runs(open_runs(candidates, lengths, level), keep_first)
     marked = runs.groupBy("cid").agg(F.collect_list(F.struct("start", "again")).alias("again"))
     strings = stored(open_strings(candidates, lengths, level), "strings").withColumn("salt", F.pmod("cid", F.lit(salts)))
     twice = strings.groupBy("h", "id").agg(F.count("*").alias("n"), F.min(F.struct("rank", "cid", "start")).alias("first")).filter("n > 1")
     twice = stored(twice, "twice").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    again = strings.join(twice, ["h", "id", "salt"])
+    again = strings.join(twice.hint("merge"), ["h", "id", "salt"])
     if keep_first:
         again = again.filter(F.struct("rank", "cid", "start") != F.col("first"))
     return marked, again.groupBy("cid").agg(F.collect_list("start").alias("starts"))
