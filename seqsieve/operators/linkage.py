@@ -190,7 +190,7 @@ def _all_sums(same: DataFrame, member: DataFrame, model: str, freq: dict[str, fl
     rows = same.join(member, "asv_ord").withColumn("i", F.pmod(F.xxhash64("asv_ord"), F.lit(many)))
     weights = rows.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("asv_ord", "c", "size"))).alias("of"))  # as many as a tile has
     cut = c.tiles(rows, ["i"]).join(weights, "i").select("i", F.struct("tile", "of").alias("tile"))
-    both = c._pairs_of(stored(cut, "cut"), c._triangle(same.sparkSession, many), many)
+    both = c._pairs_of(stored(cut, "cut"), many)
 
     def part(side) -> tuple[np.ndarray, ...]:
         """Planes, weights, clusters and where each cluster's rows begin, of a tile's rows in order of their clusters."""
