@@ -32,8 +32,8 @@ class Log:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/part={part}")
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    def rows(self, before: int, of: DataFrame | None = None) -> DataFrame:
-        """The folded rows of the batches before the given one; with `of` those only whose `by` columns are among its rows'."""
+    def rows(self, before: int, of: DataFrame | None = None, folded: bool = True) -> DataFrame:
+        """The rows of the batches before the given one, folded; with `of` those only whose `by` columns are one of its rows'."""
         whole = max(0, before - 1) // self.every * self.every
         parts = [f"w{whole}"] * (whole > 0) + [f"d{i}" for i in range(whole, before)]
         if not parts:
@@ -42,8 +42,13 @@ class Log:
         rows = read.parquet(*(f"{self.path}/part={x}" for x in parts))
         if of is not None:
             touched = [r.slot for r in of.select(self._slot(of)).distinct().collect()]  # `slots` numbers at most
-            rows = rows.filter(F.col("slot").isin(touched)).join(of.select(*(f"`{c}`" for c in self.by)).distinct(), self.by, "left_semi")
-        return self.fold(rows.drop("part", "slot"))
+            rows = rows.filter(F.col("slot").isin(touched)).join(of.select(*(f"`{c}`" for c in self.by)), self.by, "left_semi")
+        rows = rows.drop("part", "slot")
+        return self.fold(rows) if folded else rows
+
+    def batch(self, nth: int) -> DataFrame:
+        """The rows of a batch that was added."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part=d{nth}").select(*(f"`{c}`" for c in self.schema.names))
 
     def add(self, nth: int, rows: DataFrame) -> None:
         self.schema = rows.schema
@@ -60,10 +65,11 @@ class Log:
 class RunningScores:
     """The score of every sequence for each spec, as wide_scores() gives it for all counts so far, after any number of batches.
 
-    A batch of counts (library, asv_id, n) is added to the numbers in its bins. Where shares are asked for, all members of a
-    touched bin have new ones, as its total has changed; else only the sequences that arrived. Of these sequences the greatest
-    value over all their bins (with anyfail the least) is their new score. Three logs hold numbers by bin, values by
-    sequence, and scores; a batch reads those slots of them only in which its bins and sequences are, and a sweep reads scores.
+    A batch of counts (library, asv_id, n) is added to the numbers of its sequences. Where shares are asked for, it is also added to
+    the totals of its bins, and all members of a touched bin have new shares, as its total has changed; else only the sequences
+    that arrived have new values. Of these sequences the greatest value over all their bins (with anyfail the least) is their new
+    score. Logs hold numbers by sequence, and scores; for shares also totals and members by bin. A batch reads those slots only in
+    which its bins and sequences are, but for the totals, of which there is one a bin; a sweep reads scores.
 
     absorb() is made for foreachBatch: the numbers of batches count from 0, each batch may be repeated, in a new session too.
     Memberships mustn't change in between, hold no row twice and no null; counts that aren't positive or name no library or
@@ -71,35 +77,37 @@ class RunningScores:
     """
 
     def __init__(self, spark: SparkSession, path: str, memberships: dict[str, DataFrame], specs: list[Spec], anyfail: bool = False, slots: int = 32, every: int = 16):
-        self.memberships, self.pick, self.done, self.logs = memberships, F.min if anyfail else F.max, 0, []
+        self.spark, self.path, self.memberships, self.pick, self.done, self.logs = spark, path, memberships, F.min if anyfail else F.max, 0, []
         for i, (base, parts) in enumerate(dict.fromkeys((s.base, s.parts) for s in specs)):
             own = [s for s in specs if (s.base, s.parts) == (base, parts)]
             keys = [base, *parts]
             log = lambda name, by, fold, i=i: Log(spark, f"{path}/{name}-{i}", by, fold, slots, every)
-            added = lambda rows, keys=keys: rows.groupBy(*keys, "asv_id").agg(F.sum("n").alias("n"))
-            latest = lambda rows, keys: rows.groupBy(*keys).agg(F.max_by(F.struct(*(f"`{c}`" for c in rows.columns if c not in keys)), "nth").alias("_now")).select(*keys, "_now.*")
-            numbers = log("numbers", keys, added)
-            values = log("values", ["asv_id"], lambda rows, keys=keys: latest(rows, [*keys, "asv_id"]))
-            scored = log("scores", ["asv_id"], lambda rows: latest(rows, ["asv_id"]))
-            self.logs.append((own, keys, numbers, values, scored))
+            numbers = log("numbers", ["asv_id"], lambda rows, keys=keys: rows.groupBy(*keys, "asv_id").agg(F.sum("n").alias("n")))
+            totals = log("totals", keys, lambda rows, keys=keys: rows.groupBy(*keys).agg(F.sum("bin_total").alias("bin_total")))
+            members = log("members", keys, lambda rows: rows.distinct())
+            latest = [F.max_by(f"`{s.name}`", "nth").alias(s.name) for s in own]
+            scored = log("scores", ["asv_id"], lambda rows, latest=latest: rows.groupBy("asv_id").agg(*latest, F.max("nth").alias("nth")))
+            self.logs.append((own, keys, numbers, totals, members, scored))
 
     def absorb(self, counts: DataFrame, nth: int) -> None:
         """Add a batch."""
-        for own, keys, numbers, values, scored in self.logs:
-            came = binned(counts, self.memberships, own[0]).groupBy(*keys, "asv_id").agg(F.sum("n").alias("n"))
-            numbers.add(nth, came)
-            came = numbers.spark.read.schema(came.schema).parquet(f"{numbers.path}/part=d{nth}")  # counted once, read from here on
-            now = numbers.rows(nth + 1, of=came)
-            if any(s.metric == "p" for s in own):
-                totals = now.groupBy(*keys).agg(F.sum("n").alias("bin_total"))
-                share = F.col("n").cast("double") / F.col("bin_total").cast("double")  # numbers are positive
-                now = now.join(totals, keys).withColumn("p", share).drop("bin_total")
-            else:
-                now = now.join(came.select(*keys, "asv_id"), [*keys, "asv_id"], "left_semi").withColumn("p", F.lit(None).cast("double"))
-            values.add(nth, now.withColumn("nth", F.lit(nth).cast("long")))
-            changed = numbers.spark.read.schema(values.schema).parquet(f"{values.path}/part=d{nth}").select("asv_id").distinct()
-            measured = {"n": F.col("n").cast("double"), "p": F.col("p")}
-            scores = values.rows(nth + 1, of=changed).groupBy("asv_id").agg(*(self.pick(measured[s.metric]).alias(s.name) for s in own))
+        for i, (own, keys, numbers, totals, members, scored) in enumerate(self.logs):
+            shares = any(s.metric == "p" for s in own)
+            numbers.add(nth, binned(counts, self.memberships, own[0]).groupBy(*keys, "asv_id").agg(F.sum("n").alias("n")))
+            came = numbers.batch(nth)  # counted once, read from here on
+            changed = came
+            if shares:
+                totals.add(nth, came.groupBy(*keys).agg(F.sum("n").alias("bin_total")))
+                members.add(nth, came.select(*keys, "asv_id"))
+                changed = members.rows(nth + 1, of=totals.batch(nth), folded=False)
+            at = f"{self.path}/changed-{i}"
+            changed.select("asv_id").distinct().write.mode("overwrite").parquet(at)
+            now = numbers.rows(nth + 1, of=self.spark.read.schema(came.select("asv_id").schema).parquet(at))
+            measured = {"n": F.col("n").cast("double")}
+            if shares:
+                now = now.join(totals.rows(nth + 1), keys)
+                measured["p"] = F.col("n").cast("double") / F.col("bin_total").cast("double")  # numbers are positive
+            scores = now.groupBy("asv_id").agg(*(self.pick(measured[s.metric]).alias(s.name) for s in own))
             scored.add(nth, scores.withColumn("nth", F.lit(nth).cast("long")))
         self.done = nth + 1
 
