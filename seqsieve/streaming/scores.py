@@ -69,7 +69,8 @@ class RunningScores:
     the totals of its bins, and all members of a touched bin have new shares, as its total has changed; else only the sequences
     that arrived have new values. Of these sequences the greatest value over all their bins (with anyfail the least) is their new
     score. Logs hold numbers by sequence, and scores; for shares also totals and members by bin. A batch reads those slots only in
-    which its bins and sequences are, but for the totals, of which there is one a bin; a sweep reads scores.
+    which its bins and sequences are, but for the totals, of which there is one a bin; a sweep reads scores. Where a batch touches
+    half of all bins or more, all sequences are worked out anew: to look up which have new shares then takes longer.
 
     absorb() is made for foreachBatch: the numbers of batches count from 0, each batch may be repeated, in a new session too.
     Memberships mustn't change in between, hold no row twice and no null; counts that aren't positive or name no library or
@@ -99,10 +100,13 @@ class RunningScores:
             if shares:
                 totals.add(nth, came.groupBy(*keys).agg(F.sum("n").alias("bin_total")))
                 members.add(nth, came.select(*keys, "asv_id"))
-                changed = members.rows(nth + 1, of=totals.batch(nth), folded=False)
-            at = f"{self.path}/changed-{i}"
-            changed.select("asv_id").distinct().write.mode("overwrite").parquet(at)
-            now = numbers.rows(nth + 1, of=self.spark.read.schema(came.select("asv_id").schema).parquet(at))
+                touched = totals.batch(nth)
+                changed = members.rows(nth + 1, of=touched, folded=False) if 2 * touched.count() < totals.rows(nth + 1).count() else None
+            if changed is not None:
+                at = f"{self.path}/changed-{i}"
+                changed.select("asv_id").distinct().write.mode("overwrite").parquet(at)
+                changed = self.spark.read.schema(came.select("asv_id").schema).parquet(at)
+            now = numbers.rows(nth + 1, of=changed)
             measured = {"n": F.col("n").cast("double")}
             if shares:
                 now = now.join(totals.rows(nth + 1), keys)
